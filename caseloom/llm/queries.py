@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import packing
+from caseloom.llm import chat, packing, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op4_topk": topk.op4_topk,
+    "op10_chat": chat.op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_topk": topk.OP4_SQL,
+    "op10_chat": chat.OP10_SQL,
+}
