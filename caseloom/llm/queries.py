@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import chat, packing, topk
+from caseloom.llm import chat, mixing, packing, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
+    "op2_mixing": mixing.op2_mixing,
     "op4_topk": topk.op4_topk,
+    "op8_secrets": secrets.op8_secrets,
     "op10_chat": chat.op10_chat,
 }
 
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
+    "op8_secrets": secrets.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
 }
