@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame functions only.
 
 A text is cut into paragraphs after words that its own content selects: about 2^level words
-each, the level rising with the text's length, so that any text has some 10 to 20. The
+each, the level rising with the text's length, so that most texts have 7 to 14. The
 digest of each distinct paragraph goes to one cell in each of three parts of the sketch; a
 cell keeps a count, the xor of its digests and the xor of their checks. Subtracting two
 sketches cancels what the texts share; cells left with one digest give it up, and taking it
@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 from caseloom.llm import common
 
 #: Cells in each of the three parts: of a fingerprint, and of the retries.
-WIDTHS = (32, 128, 512)
-ROUNDS = 9
+WIDTHS = (16, 64, 512)
+ROUNDS = 7
 _SPACE = r"[\x20\x09-\x0D]+"
 _CELL = "struct<n: int, key: bigint, check: bigint>"
 
 
 def level_of(n_chars: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / F.lit(64.0)))).cast("int")
+    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / F.lit(42.0)))).cast("int")
 
 
 def paragraph_digests(text: Column, level: Column) -> Column:
@@ -38,7 +38,8 @@ def paragraph_digests(text: Column, level: Column) -> Column:
 
 def _hits(key: Column, i: Column, width: int) -> Column:
     """Whether a digest belongs to cell i: part i div width takes its bits from 16 * part on."""
-    return F.call_function("shiftright", key, (F.floor(i / F.lit(width)) * 16).cast("int")).bitwiseAND(F.lit(width - 1)) == F.pmod(i, F.lit(width))
+    bits = width.bit_length() - 1
+    return F.call_function("shiftright", key, F.shiftright(i, bits) * 16).bitwiseAND(F.lit(width - 1)) == i.bitwiseAND(F.lit(width - 1))
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
