@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import chat, fingerprint, mixing, packing, secrets, topk
+from caseloom.llm import chat, fingerprint, lines, mixing, packing, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op4_topk": topk.op4_topk,
+    "op5_lines": lines.op5_lines,
     "op8_secrets": secrets.op8_secrets,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat": chat.op10_chat,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_topk": topk.OP4_SQL,
+    "op5_lines": lines.OP5_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
 }
