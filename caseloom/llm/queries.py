@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import chat, fingerprint, lines, mixing, packing, secrets, topk
+from caseloom.llm import chat, fingerprint, lines, mixing, packing, secrets, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_mixing": mixing.op2_mixing,
     "op4_topk": topk.op4_topk,
     "op5_lines": lines.op5_lines,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_secrets": secrets.op8_secrets,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat": chat.op10_chat,
