@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import common
 
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGN = 64
 _LONGEST = 24
@@ -91,6 +91,11 @@ class Landmarks:
         keep = values > 1e-6
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
 
+    def project(self, words: list[str], weights: np.ndarray) -> np.ndarray:
+        """similar(words) @ weights, some words at a time."""
+        parts = [self.similar(words[i : i + 10_000]) @ weights for i in range(0, len(words), 10_000)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
     def similar(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of words (letters only) with the landmarks; rows below the gate are zero."""
         out = np.zeros((len(words), len(self.words)), np.float32)
@@ -143,18 +148,27 @@ def merged(tokens: list[str]) -> list[str]:
     return out
 
 
-def mine(docs: list[tuple[list[str], int]], kernel: Kernel, most: int = 96, least_z: float = 3.5) -> list[str]:
+def mine(texts: list[str], toxic: list[int], kernel: Kernel, most: int = 96, least_z: float = 3.5) -> list[str]:
     """Words and word beginnings that mark toxic documents, strongest first, near copies left out."""
-    seen = {0: Counter(), 1: Counter()}
-    total = Counter(y for _, y in docs)
-    for words, y in docs:
-        own = {w for w in words if 3 <= len(w) <= _LONGEST}
-        seen[y].update(own | {w[:n] for w in own for n in (5, 6, 7) if len(w) > n})
+
+    def parts(text: str) -> set[str]:
+        own = {w for w in map(letters, set(merged(text.lower().split()))) if 3 <= len(w) <= _LONGEST}
+        return own | {w[:n] for w in own for n in (5, 6, 7) if len(w) > n}
+
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    total = Counter(toxic)
+    for t, y in zip(texts, toxic, strict=True):
+        if y:
+            seen[1].update(parts(t))
+    often = {w for w, a in seen[1].items() if a >= 3}
+    for t, y in zip(texts, toxic, strict=True):
+        if not y:
+            seen[0].update(parts(t) & often)
     n1, n0 = max(total[1], 1), max(total[0], 1)
     z = {}
-    for w, a in seen[1].items():
-        b = seen[0][w]
-        if a >= 3 and a / n1 > 4 * b / n0:
+    for w in often:
+        a, b = seen[1][w], seen[0][w]
+        if a / n1 > 4 * b / n0:
             z[w] = (a / n1 - b / n0) / np.sqrt((a + b) / (n1 + n0) * (1 / n1 + 1 / n0))
     chosen: list[str] = []
     maps: list[dict[int, float]] = []
@@ -209,7 +223,7 @@ class Model:
         idx = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(texts)), counts)
         clean = [letters(t) for t in raw]
-        value = self.landmarks.similar(clean) @ self.weights
+        value = self.landmarks.project(clean, self.weights)
         word = value[idx]
         single = np.array([len(c) == 1 and len(t) <= 3 for c, t in zip(clean, raw, strict=True)], bool)[idx]
         # spelled-out words: runs of single letters in one document
@@ -242,24 +256,21 @@ class Model:
 
 def fit(texts: list[str], toxic: list[int], gate: float = 0.55, cost: float = 1.0) -> Model:
     kernel = Kernel()
-    tokens = [merged(t.lower().split()) for t in texts]
-    words = [[w for w in map(letters, t) if w] for t in tokens]
     share = float(np.mean(toxic)) if toxic else 0.0
-    marks = mine(list(zip(words, toxic, strict=True)), kernel) if 0 < share < 1 else []
+    marks = mine(texts, toxic, kernel) if 0 < share < 1 else []
     if not marks:
         return Model(None, np.zeros(0), 0.0, np.zeros(0), share)
     landmarks = Landmarks(marks, kernel, gate)
-    vocabulary = sorted({w for ws in words for w in ws})
-    place = {w: i for i, w in enumerate(vocabulary)}
-    near = landmarks.similar(vocabulary)
-    hit = near.max(axis=1) > 0
     rows, labels = [], []
     blank = 0
-    for ts, y in zip(tokens, toxic, strict=True):
-        for s in sentences(ts):
-            own = [place[w] for w in map(letters, s) if w and hit[place[w]]]
+    for text, y in zip(texts, toxic, strict=True):
+        tokens = merged(text.lower().split())
+        words = sorted({w for w in map(letters, tokens) if w})
+        near = {w: k for lo in range(0, len(words), 10_000) for w, k in zip(words[lo:], landmarks.similar(words[lo : lo + 10_000]), strict=False) if k.any()}
+        for s in sentences(tokens):
+            own = [near[w] for w in map(letters, s) if w in near]
             if own:
-                rows.append(near[own].sum(axis=0))
+                rows.append(np.sum(own, axis=0))
                 labels.append(1 if y else -1)
             else:
                 blank += not y
@@ -269,7 +280,8 @@ def fit(texts: list[str], toxic: list[int], gate: float = 0.55, cost: float = 1.
     weight = np.where(y > 0, cost * max(1.0, (y < 0).sum() / max((y > 0).sum(), 1)), cost)
     w = linear_svm(x, y, weight)
     model = Model(landmarks, landmarks.whiten @ w[:-1], float(w[-1]), np.zeros(5), share)
-    model.head = logistic(model.features(pa.array(texts, pa.string())), np.array(toxic, float))
+    x = np.concatenate([model.features(pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)])
+    model.head = logistic(x, np.array(toxic, float))
     return model
 
 
@@ -299,7 +311,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text",
             sizes = s.str.len().to_numpy()
             for hi in range(len(s)):
                 size += sizes[hi]
-                if size > 8_000_000 or hi + 1 - lo == 4000:
+                if size > 4_000_000 or hi + 1 - lo == 4000:
                     parts.append(shared.value.scores(pa.array(s.iloc[lo : hi + 1], pa.string())))
                     lo, size = hi + 1, 0
             if lo < len(s):
