@@ -30,7 +30,6 @@ from caseloom.llm import shingles as S
 SMALL = 24
 ROUNDS = 4
 SALTS = 16
-_BITS = 25
 
 
 def _signatures(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
@@ -72,24 +71,6 @@ def _prefixes(texts: DataFrame, table, n: int, percent: int) -> DataFrame:
     return texts.select("t").mapInArrow(run, "n long, d1 long, d2 long, tokens array<bigint>, ranks array<bigint>")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A set of longs (column key) as a bitmap of 2**_BITS bits, 4 MB whatever their number."""
-    bits = keys.select(F.shiftrightunsigned("key", 64 - _BITS).alias("b")).distinct().withColumn("part", F.shiftright("b", 19))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            bit, part = (b.column(i).to_numpy() for i in (0, 1))
-            for p in np.unique(part).tolist():
-                parts.setdefault(p, np.zeros(1 << 19, bool))[bit[part == p] & ((1 << 19) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros(1 << _BITS, bool)
-    for r in bits.repartition("part").mapInArrow(run, "part long, bits binary").collect():
-        out[r["part"] << 19 : (r["part"] + 1) << 19] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return np.packbits(out)
-
-
 def _sets(texts: DataFrame, table, wanted, n: int) -> DataFrame:
     """The sets whose digest is in the bitmap, common shingles first: n, digest, items (binary)."""
 
@@ -99,7 +80,7 @@ def _sets(texts: DataFrame, table, wanted, n: int) -> DataFrame:
             rows = []
             for s in S.shingle_sets(b.column(0), n):
                 key = S.digest(s) if len(s) else None
-                if key is None or not bits[(key[0] & ((1 << 64) - 1)) >> (64 - _BITS)] or key in seen:
+                if key is None or not bits[(key[0] & ((1 << 64) - 1)) >> (64 - S.BITMAP_BITS)] or key in seen:
                     continue
                 seen.add(key)
                 if len(seen) > 500_000:
@@ -284,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     def sets_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         known = common.durable(classes.join(nodes, "node", "left_semi").select(*key, "node"))
-        wanted = spark.sparkContext.broadcast(_bitmap(known.select(F.col("d1").alias("key"))))
+        wanted = spark.sparkContext.broadcast(S.bitmap(known.select(F.col("d1").alias("key"))))
         return _sets(texts, table, wanted, n).join(known, key).dropDuplicates(["node"]).select("node", "items")
 
     label = _rounds(common.durable(postings), sets_of, percent)

@@ -17,6 +17,7 @@ _SLICE = 1 << 21
 #: The table of levels has 2**TABLE_BITS bytes, whatever the input: 32 MB.
 TABLE_BITS = 25
 _KEPT = 40
+BITMAP_BITS = 25
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -193,3 +194,21 @@ def level_table(texts: DataFrame, total: int, n: int) -> np.ndarray:
 
 def texts_of(docs: DataFrame, text_column: str) -> DataFrame:
     return docs.select(common.text_of(F.col(text_column).cast("string")).alias("t"))
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A set of longs (column key) as a bitmap of 2**BITMAP_BITS bits, 4 MB whatever their number."""
+    bits = keys.select(F.shiftrightunsigned("key", 64 - BITMAP_BITS).alias("b")).distinct().withColumn("part", F.shiftright("b", 19))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for b in batches:
+            bit, part = (b.column(i).to_numpy() for i in (0, 1))
+            for p in np.unique(part).tolist():
+                parts.setdefault(p, np.zeros(1 << 19, bool))[bit[part == p] & ((1 << 19) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(1 << BITMAP_BITS, bool)
+    for r in bits.repartition("part").mapInArrow(run, "part long, bits binary").collect():
+        out[r["part"] << 19 : (r["part"] + 1) << 19] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+    return np.packbits(out)
