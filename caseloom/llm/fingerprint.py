@@ -144,7 +144,8 @@ def compare_with_edit(docs: DataFrame, *, id_column: str = "doc_id", text_column
     near_edited, near_next. A null text is empty. A sole document is its own next.
     """
     text = common.text_of(F.col(text_column).cast("string"))
-    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(-(1 << 63))).alias("k"), text.alias("t"))
+    none = F.lit(-(1 << 63))  # stands for a null id; both uses of the texts then share one exchange
+    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), none).alias("k"), text.alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     order = previous_of(rows.select("k", "h", F.length("t").cast("long").alias("n")).distinct(), ["k", "h"], ["n"])
     placed = rows.join(order, ["k", "h"])
@@ -153,7 +154,7 @@ def compare_with_edit(docs: DataFrame, *, id_column: str = "doc_id", text_column
     heads = placed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     half = F.floor(F.col("prev_n") / 2).cast("int")
     heads = heads.select(F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.substring(F.col("t"), F.lit(1), half).alias("next_head"), level.alias("next_level"), paragraph_digests(F.col("t"), level).alias("next_digests"))
-    both = placed.select("id", "k", "h", "t", "n").join(heads, ["k", "h"])
+    both = placed.select("k", "h", "t", "n").join(heads, ["k", "h"])
     keep = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), keep), F.col("next_head")))
     both = both.withColumn("level", level_of(F.col("n"))).withColumn("edited_level", level_of(F.length("edited")))
@@ -166,7 +167,7 @@ def compare_with_edit(docs: DataFrame, *, id_column: str = "doc_id", text_column
     both = both.withColumn("s_e_same", F.when(F.col("edited_level") == F.col("level"), F.col("s_e")).otherwise(sketch(F.col("e_same"), WIDTHS[0])))
     both = both.withColumn("s_next", sketch(F.col("next_digests"), WIDTHS[0]))
     return both.select(
-        F.col("id").alias(id_column), F.col("n").alias("n_chars"), "edited",
+        F.when(F.col("k") != none, F.col("k")).alias(id_column), F.col("n").alias("n_chars"), "edited",
         as_text(F.col("level"), F.col("a"), F.col("s_a")).alias("fingerprint"), as_text(F.col("edited_level"), F.col("e"), F.col("s_e")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e_same"), F.col("s_a"), F.col("s_e_same")).alias("near_edited"),
         likeness(F.col("a_next"), F.col("next_digests"), F.col("s_a_next"), F.col("s_next")).alias("near_next"),
