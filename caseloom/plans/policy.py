@@ -81,8 +81,10 @@ def ridge(df: DataFrame, x: Column, y: Column, alpha: float = 1.0) -> Linear:
     return Linear(np.linalg.lstsq(gram + penalty, side, rcond=None)[0].tolist())
 
 
-def logistic(df: DataFrame, x: Column, y: Column, alpha: float = 1.0, steps: int = 30) -> Linear:
+def logistic(df: DataFrame, x: Column, y: Column, alpha: float = 1.0, steps: int = 12) -> Linear:
     """[ML-1] Sum of logistic losses plus alpha / 2 times the squared coefficients of features scaled by their standard deviations."""
+    df = df.select(x.alias("x"), y.cast("double").alias("y")).persist()  # read once a step; recomputed if lost
+    x, y = F.col("x"), F.col("y")
     gram, _, n = _moments(df, x, y)
     sd = np.sqrt(np.maximum(np.diag(gram)[:-1] / n - (gram[-1, :-1] / n) ** 2, 0))
     scale = np.append(np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0), 1)
@@ -92,8 +94,9 @@ def logistic(df: DataFrame, x: Column, y: Column, alpha: float = 1.0, steps: int
         hess, grad, _ = _moments(df, x, y, w, scale)
         step = np.linalg.solve(hess + penalty + 1e-9 * np.eye(len(w)), grad - penalty @ w)
         w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-7:
             break
+    df.unpersist()
     return Linear((w * scale).tolist(), logistic=True)
 
 
@@ -102,8 +105,37 @@ def pool() -> Column:
     return ranking.responder_pool(F.col("R1_responder"), RESPONDER_POOL, OTHER_POOL)
 
 
-def _scores(model: Linear, state: Sequence[Column], arms: Sequence[str]) -> Column:
-    return F.create_map(*[x for a in arms for x in (F.lit(a), model.predict(enc.design(state, F.lit(a), arms, arms[0])))])
+def with_states(df: DataFrame) -> DataFrame:
+    """The states as arrays (s1, s2), computed once; everything else reads them."""
+    return df.withColumn("s1", F.array(*[c.cast("double") for c in enc.state1()])).withColumn("s2", F.array(*[c.cast("double") for c in enc.state2()]))
+
+
+def counterfactual(arm: str) -> Column:
+    """s2 with another stage-1 arm: its last three elements are the arm's dummies."""
+    k = len(schemas.A1_ARMS)
+    return F.concat(F.slice("s2", F.lit(1), F.size("s2") - k), F.array(*[F.lit(float(a == arm)) for a in schemas.A1_ARMS]))
+
+
+def design(state: Column, arm: Column, arms: Sequence[str]) -> Column:
+    """[PRJ-10] The state and, for every arm but the first, state times its dummy."""
+    times = lambda a: F.transform(state, lambda x: x * (arm == a).cast("double"))
+    return F.concat(state, *[times(a) for a in arms[1:]])
+
+
+def with_scores(df: DataFrame, name: str, model: Linear, state: Column, arms: Sequence[str]) -> DataFrame:
+    """A map column of the model's value of each arm. One matrix product a batch, which also keeps the plans small."""
+    w, links = np.array(model.weights), model.logistic
+    n = len(arms)
+
+    @F.pandas_udf("array<double>")
+    def score(states: pd.Series) -> pd.Series:
+        x = np.stack(states.to_numpy())
+        k = x.shape[1]
+        base = x @ w[:k] + w[-1]
+        raw = np.column_stack([base, *[base + x @ w[k * i : k * (i + 1)] for i in range(1, n)]])
+        return pd.Series(list(np.clip(1 / (1 + np.exp(-raw)) if links else raw, 0, 1)))
+
+    return df.withColumn(name, F.map_from_arrays(F.array(*map(F.lit, arms)), score(state)))
 
 
 @dataclass
@@ -123,19 +155,24 @@ def fit_q(df: DataFrame, *, alpha: float = 1.0, use_logistic: bool = True) -> Fi
     """
     arms1, arms2 = schemas.A1_ARMS, schemas.A2_ARMS
     fit2 = logistic if use_logistic else ridge
-    q2 = fit2(df, enc.design(enc.state2(), F.col("A2"), arms2, arms2[0]), F.col("Y"), alpha)
-    best = ranking.argmax_in_pool(_scores(q2, enc.state2(), arms2), arms2, pool())
-    ahead = F.create_map(*[x for a in arms1 for x in (F.lit(a), ranking.argmax_in_pool(_scores(q2, enc.state2(a), arms2), arms2, pool())["value"])])
-    df = df.withColumn("best2", best).withColumn("best1", ranking.argmax_in_pool(ahead, arms1, F.array(*map(F.lit, arms1))))
-    q1 = ridge(df, enc.design(enc.state1(), F.col("A1"), arms1, arms1[0]), F.col("best1.value"), alpha)
+    df = with_states(df)
+    q2 = fit2(df, design(F.col("s2"), F.col("A2"), arms2), F.col("Y"), alpha)
+    df = with_scores(df, "own2", q2, F.col("s2"), arms2)
+    for a in arms1:
+        df = with_scores(df, f"if_{a}", q2, counterfactual(a), arms2)
+        df = df.withColumn(f"best_{a}", ranking.argmax_in_pool(F.col(f"if_{a}"), arms2, pool()))
+    df = df.withColumn("best2", ranking.argmax_in_pool(F.col("own2"), arms2, pool()))
+    df = df.withColumn("ahead", F.create_map(*[x for a in arms1 for x in (F.lit(a), F.col(f"best_{a}.value"))]))
+    df = df.withColumn("best1", ranking.argmax_in_pool(F.col("ahead"), arms1, F.array(*map(F.lit, arms1))))
+    q1 = ridge(df, design(F.col("s1"), F.col("A1"), arms1), F.col("best1.value"), alpha)
     rules = df.select("encounter_id", "case_id", "case_category", "R1_responder", F.col("best1.arm").alias("pi1"), F.col("best2.arm").alias("pi2"), F.col("best1.value").alias("value"))
     return Fit(q1, q2, rules, rules.agg(F.avg("value")).first()[0])
 
 
 def value_of_pair(df: DataFrame, q2: Linear, a1: str, a2: str) -> DataFrame:
     """[ML-6] Mean value of a fixed pair over the rows to which a2 is open; null when there are none."""
-    v = q2.predict(enc.design(enc.state2(a1), F.lit(a2), schemas.A2_ARMS, schemas.A2_ARMS[0]))
-    return df.where(F.array_contains(pool(), a2)).agg(F.avg(v).alias("value")).select(F.lit(a1).alias("A1"), F.lit(a2).alias("A2"), "value")
+    v = q2.predict(design(counterfactual(a1), F.lit(a2), schemas.A2_ARMS))
+    return with_states(df).where(F.array_contains(pool(), a2)).agg(F.avg(v).alias("value")).select(F.lit(a1).alias("A1"), F.lit(a2).alias("A2"), "value")
 
 
 def static_values(df: DataFrame, fit: Fit) -> DataFrame:
@@ -158,9 +195,9 @@ def cross_fitted_value(df: DataFrame, folds: int = 5, *, alpha: float = 1.0, use
     df = df.withColumn("fold", fold_of(F.col("encounter_id"), folds, seed))
     total, n = 0.0, 0
     for k in range(folds):
-        test = df.where(F.col("fold") == k)
         fitted = fit_q(df.where(F.col("fold") != k), alpha=alpha, use_logistic=use_logistic)
-        best = ranking.argmax_in_pool(_scores(fitted.q2, enc.state2(), schemas.A2_ARMS), schemas.A2_ARMS, pool())["value"]
+        test = with_scores(with_states(df.where(F.col("fold") == k)), "own2", fitted.q2, F.col("s2"), schemas.A2_ARMS)
+        best = ranking.argmax_in_pool(F.col("own2"), schemas.A2_ARMS, pool())["value"]
         s, c = test.agg(F.sum(best), F.count(best)).first()
         total, n = total + (s or 0.0), n + c
     return total / n if n else None
@@ -169,31 +206,32 @@ def cross_fitted_value(df: DataFrame, folds: int = 5, *, alpha: float = 1.0, use
 def fit_a(df: DataFrame, *, alpha: float = 1.0) -> DataFrame:
     """[ML-8..11, SRT-9, UDF-8] A-learning with linear blips and known propensities: encounter_id, pi1, pi2, value."""
 
-    def stage(df: DataFrame, state: Sequence[Column], arm: str, arms: Sequence[str], y: Column, propensity: Callable[[str], Column]) -> tuple[Linear, dict[str, Linear]]:
-        x = F.array(*[c.cast("double") for c in state])
+    def stage(df: DataFrame, x: Column, arm: str, arms: Sequence[str], y: Column, propensity: Callable[[str], Column]) -> dict[str, Linear]:
         base = ridge(df.where(F.col(arm) == arms[0]), x, y, 1e-6)
         resid = y - base.raw(x)
         others = [a for a in arms if a != arms[0]]
         parts = [((F.col(arm) == a).cast("double") - propensity(a)) for a in others]
-        z = F.array(*[p * c.cast("double") for p in parts for c in [*state, F.lit(1.0)]])
-        w = ridge(df, z, resid, alpha).weights
-        k = len(state) + 1
-        return base, {a: Linear(w[i * k : (i + 1) * k]) for i, a in enumerate(others)}
-
-    def blips(models: dict[str, Linear], state: Sequence[Column], arms: Sequence[str]) -> Column:
-        x = F.array(*[c.cast("double") for c in state])
+        one = F.concat(x, F.array(F.lit(1.0)))
+        times = lambda p: F.transform(one, lambda v: v * p)
+        df = df.withColumn("z", F.concat(*[times(p) for p in parts])).withColumn("resid", resid)
+        w = ridge(df, F.col("z"), F.col("resid"), alpha).weights
+        k = len(base.weights)
+        return {a: Linear(w[i * k : (i + 1) * k]) for i, a in enumerate(others)}
+
+    def blips(models: dict[str, Linear], x: Column, arms: Sequence[str]) -> Column:
         return F.create_map(*[v for a in arms for v in (F.lit(a), F.lit(0.0) if a == arms[0] else models[a].raw(x))])
 
     arms1, arms2 = schemas.A1_ARMS, schemas.A2_ARMS
     share2 = lambda a: F.when(F.array_contains(pool(), a), 1.0 / F.size(pool())).otherwise(0.0)  # noqa: E731  [ML-11]
-    _, m2 = stage(df, enc.state2(), "A2", arms2, F.col("Y").cast("double"), share2)
-    b2 = blips(m2, enc.state2(), arms2)
-    df = df.withColumn("best2", ranking.argmax_in_pool(b2, arms2, pool()))
-    df = df.withColumn("v2", F.col("Y") + F.col("best2.value") - F.coalesce(F.try_element_at(b2, F.col("A2")), F.lit(0.0)))
-    _, m1 = stage(df, enc.state1(), "A1", arms1, F.col("v2"), lambda a: F.lit(1.0 / len(arms1)))
-    b1 = blips(m1, enc.state1(), arms1)
-    df = df.withColumn("best1", ranking.argmax_in_pool(b1, arms1, F.array(*map(F.lit, arms1))))
-    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v2") + F.col("best1.value") - F.coalesce(F.try_element_at(b1, F.col("A1")), F.lit(0.0))))
+    df = with_states(df)
+    m2 = stage(df, F.col("s2"), "A2", arms2, F.col("Y").cast("double"), share2)
+    df = df.withColumn("b2", blips(m2, F.col("s2"), arms2))
+    df = df.withColumn("best2", ranking.argmax_in_pool(F.col("b2"), arms2, pool()))
+    df = df.withColumn("v2", F.col("Y") + F.col("best2.value") - F.coalesce(F.try_element_at("b2", F.col("A2")), F.lit(0.0)))
+    m1 = stage(df, F.col("s1"), "A1", arms1, F.col("v2"), lambda a: F.lit(1.0 / len(arms1)))
+    df = df.withColumn("b1", blips(m1, F.col("s1"), arms1))
+    df = df.withColumn("best1", ranking.argmax_in_pool(F.col("b1"), arms1, F.array(*map(F.lit, arms1))))
+    value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v2") + F.col("best1.value") - F.coalesce(F.try_element_at("b1", F.col("A1")), F.lit(0.0))))
     return df.select("encounter_id", F.col("best1.arm").alias("pi1"), F.col("best2.arm").alias("pi2"), value.alias("value"))
 
 
@@ -204,11 +242,11 @@ def coefficients(fit: Fit, spark: SparkSession) -> DataFrame:
 
 def policy_of(fit: Fit, df: DataFrame) -> DataFrame:
     """[ML-13] case_id, pi1 by the stage-1 model, pi2 at pi1 over all arms (no pool)."""
-    q1 = _scores(fit.q1, enc.state1(), schemas.A1_ARMS)
-    df = df.withColumn("pi1", ranking.argmax_in_pool(q1, schemas.A1_ARMS, F.array(*map(F.lit, schemas.A1_ARMS)))["arm"])
-    own = df.withColumn("A1", F.col("pi1"))
-    q2 = _scores(fit.q2, enc.state2(), schemas.A2_ARMS)
-    own = own.withColumn("pi2", ranking.argmax_in_pool(q2, schemas.A2_ARMS, F.array(*map(F.lit, schemas.A2_ARMS)))["arm"])
+    all1, all2 = (F.array(*map(F.lit, x)) for x in (schemas.A1_ARMS, schemas.A2_ARMS))
+    df = with_scores(with_states(df), "m1", fit.q1, F.col("s1"), schemas.A1_ARMS)
+    own = with_states(df.withColumn("A1", ranking.argmax_in_pool(F.col("m1"), schemas.A1_ARMS, all1)["arm"]))
+    own = with_scores(own, "m2", fit.q2, F.col("s2"), schemas.A2_ARMS).withColumn("pi1", F.col("A1"))
+    own = own.withColumn("pi2", ranking.argmax_in_pool(F.col("m2"), schemas.A2_ARMS, all2)["arm"])
     return own.groupBy("case_id").agg(F.min(F.struct("encounter_id", "pi1", "pi2")).alias("m")).select("case_id", "m.pi1", "m.pi2")
 
 
@@ -336,8 +374,8 @@ def try_fit(df: DataFrame) -> tuple[Fit | None, str | None]:
 def sweep(fit: Fit, df: DataFrame, column: str, values: Sequence[float]) -> DataFrame:
     """[INF-7] Mean stage-2 value of each arm as one state column takes each value."""
     swept = df.withColumn(column, F.explode(F.array(*map(F.lit, values))))
-    scores = _scores(fit.q2, enc.state2(), schemas.A2_ARMS)
-    return swept.select(column, F.explode(scores).alias("arm", "value")).groupBy(column, "arm").agg(F.avg("value").alias("value"))
+    swept = with_scores(with_states(swept), "m2", fit.q2, F.col("s2"), schemas.A2_ARMS)
+    return swept.select(column, F.explode("m2").alias("arm", "value")).groupBy(column, "arm").agg(F.avg("value").alias("value"))
 
 
 def rank_within(df: DataFrame, by: str, order: str) -> DataFrame:
