@@ -28,7 +28,7 @@ from caseloom.llm import common
 from caseloom.llm import shingles as S
 
 SMALL = 24
-ROUNDS = 4
+ROUNDS = 2
 SALTS = 16
 
 
@@ -210,6 +210,7 @@ def _rounds(postings: DataFrame, sets_of, percent: int) -> DataFrame | None:
         live = common.durable(live.select("token", "node", "n", "rank", "label", "size", "hub0", "hi"))
         if not live.limit(1).count():
             break
+        large = live.where(F.col("size") > SMALL).limit(1).count()
         few = F.lit(True) if turn == ROUNDS else F.lit(False) if turn == 0 else F.col("size") <= SMALL
         pair = lambda a, b: (
             a.select("token", F.col("node").alias("x"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("lx"))
@@ -237,6 +238,8 @@ def _rounds(postings: DataFrame, sets_of, percent: int) -> DataFrame | None:
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else common.durable(links.unionByName(found))
         label = components(links)
+        if turn and not large:  # every group that was left had all its pairs tested
+            break
     return label
 
 
@@ -257,8 +260,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     classes = rows.where("n > 0").groupBy(*key).agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     classes = common.durable(classes.withColumn("node", F.monotonically_increasing_id()))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    level = S.level_table(texts, total, n)
-    table = spark.sparkContext.broadcast(level)
+    table = spark.sparkContext.broadcast(S.level_table(texts, total, n))
     prefixes = _prefixes(texts, table, n, percent).dropDuplicates(key).join(classes.select(*key, "node"), key)
     postings = prefixes.select("node", "n", F.explode(F.arrays_zip("tokens", "ranks")).alias("p")).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.ranks").alias("rank"))
 
@@ -269,6 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         return _sets(texts, table, wanted, n).join(known, key).dropDuplicates(["node"]).select("node", "items")
 
     label = _rounds(common.durable(postings), sets_of, percent)
+    table.destroy()  # what follows reads checkpoints
     named = classes
     if label is not None:
         named = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

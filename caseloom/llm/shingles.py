@@ -14,10 +14,10 @@ from caseloom.llm import common
 
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SLICE = 1 << 21
-#: The table of levels has 2**TABLE_BITS bytes, whatever the input: 32 MB.
-TABLE_BITS = 25
+#: The table of levels has 2**TABLE_BITS bytes, whatever the input: 16 MB.
+TABLE_BITS = 24
 _KEPT = 40
-BITMAP_BITS = 25
+BITMAP_BITS = 24
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -197,7 +197,7 @@ def texts_of(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
-    """A set of longs (column key) as a bitmap of 2**BITMAP_BITS bits, 4 MB whatever their number."""
+    """A set of longs (column key) as a bitmap of 2**BITMAP_BITS bits, 2 MB whatever their number."""
     bits = keys.select(F.shiftrightunsigned("key", 64 - BITMAP_BITS).alias("b")).distinct().withColumn("part", F.shiftright("b", 19))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
