@@ -236,7 +236,7 @@ class Model:
                     end += 1
                 word[i] += float((self.landmarks.similar(["".join(clean[j] for j in idx[i:end])]) @ self.weights)[0])
                 done = end
-        ends = np.array([t[-1] in ".!?" for t in raw], bool)[idx]
+        ends = np.array([t.endswith((".", "!", "?")) for t in raw], bool)[idx]
         first = np.ones(len(idx), bool)
         first[1:] = ends[:-1] | (doc[1:] != doc[:-1])
         begin = np.flatnonzero(first)
