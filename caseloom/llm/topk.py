@@ -186,8 +186,8 @@ def top_k(
     if blocks == 1:
         joined = c.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
     else:
-        c = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+        c = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         joined = c.join(q, ["q_block", "salt"]).sortWithinPartitions("q_block")
     best = joined.select("n", "dims", "ids", "vals", "q_block", "q_n", "q_dims", "q_ids", "q_vals").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
