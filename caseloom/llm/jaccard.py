@@ -5,7 +5,8 @@ Sets are ordered by how common a shingle is in the corpus (a table of fixed size
 their prefixes, so prefixes are the only postings; equal sets are one node. Where postings
 meet, each group of a shingle first tests one member, its hub, against the others; what
 links is contracted, and only groups that still hold different components go on: small
-groups test their remaining pairs, large ones take further hubs, and after a few rounds all
+groups test their remaining pairs, large ones take members of their main component as
+further hubs, and after a few rounds all
 remaining pairs of different components. So no group emits all its pairs unless none of
 them link, and no link that matters is lost: components are exact.
 
@@ -21,14 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import common
 from caseloom.llm import shingles as S
 
-SMALL = 24
-ROUNDS = 2
+SMALL = 12
+ROUNDS = 4
+#: Members of a large group's main component that later rounds test against the others.
+HUBS = 8
 SALTS = 16
 
 
@@ -218,16 +221,16 @@ def _rounds(postings: DataFrame, sets_of, percent: int) -> DataFrame | None:
             .where(F.expr(f"x <> y AND lx <> ly AND {fits}"))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         )
-        # a group's hub: its smallest node at first, then the smallest of another component
-        hubs = live.where(~few)
+        # a group's hub: its smallest node at first, then other members of its main component each round
+        wide = live.where(~few)
         if turn:
-            hubs = hubs.where("label = hi")
-        best = hubs.groupBy("token").agg(F.min(F.struct("node", "n", "rank", "label")).alias("h")) if turn else None
-        if turn:
-            hub = best.select("token", "h.*")
+            sizes = wide.groupBy("token", "label").agg(F.count("*").alias("c"))
+            main = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m")).select("token", F.col("m.label").alias("label"))
+            drawn = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+            hub = wide.join(main, ["token", "label"]).withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= HUBS)
         else:
-            hub = hubs.where("node = hub0")
-        pairs = pair(hub, live.where(~few))
+            hub = wide.where("node = hub0")
+        pairs = pair(hub, wide)
         if turn:
             pairs = pairs.unionByName(pair(live.where(few), live.where(few)))
         pairs = pairs.distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from caseloom.llm import common
 
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 #: The table of levels has 2**TABLE_BITS bytes, whatever the input: 16 MB.
 TABLE_BITS = 24
 _KEPT = 40
@@ -72,7 +72,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """Runs of texts of some 2 MB, with the index of the first."""
+    """Runs of texts of some 500 kB, with the index of the first."""
     sizes = np.diff(_bytes(texts)[1])
     run = np.cumsum(sizes) // _SLICE
     cuts = np.flatnonzero(np.diff(run)) + 1
@@ -152,7 +152,7 @@ def level_table(texts: DataFrame, total: int, n: int) -> np.ndarray:
             for s in shingle_sets(b.column(0), n):
                 held.append(s >> np.uint64(64 - _KEPT))
                 size += len(s)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     size = 0
         if size:
