@@ -3,10 +3,9 @@
 Of all suffixes (one a word) only those stay that begin at a minimiser: the smallest hash of
 26 words among 25 neighbouring ones. Any two equal passages of 50 words hold a minimiser at
 the same place. The suffixes are brought together by their first 26 words, neighbours that
-come from different documents are matches, and their first words are kept as a bitmap of
-fixed size. Matches are then extended left and right: of every document the windows of 50
-words around a matched minimiser are compared in the same way, this time exactly, and the
-windows that another document has too are joined to the longest passages.
+come from different documents are matches. Matches are then extended left and right: of
+every document the windows of 50 words around a matched minimiser are compared in the same
+way, and those that another document has too are joined to the longest passages.
 
 Documents with the same words are one in all this; where there are several, all of each is
 a repeated passage.
@@ -71,45 +70,44 @@ def repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column
     null ids pass through. Whole texts are compared; other columns are not read.
     """
     least = min_words
-    spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), common.text_of(F.col(text_column).cast("string")).alias("t"))
+    rows = rows.withColumn("doc", F.xxhash64("t"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(len(h), *S.digest(h)) for h in _documents(b.column(1))]
             cols = list(zip(*out, strict=True)) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols]], names=["id", "doc", "n", "d1", "d2"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
             keys, owners = [], []
-            for h in _documents(b.column(0)):
-                if len(h) >= least and (d := S.digest(h)) not in seen:
-                    seen.add(d)
+            for h, doc in zip(_documents(b.column(0)), b.column(1).to_pylist(), strict=True):
+                if len(h) >= least and doc not in seen:
+                    seen.add(doc)
                     runs, at = minimisers(h, least)
                     own = np.unique(runs[np.unique(at)])
                     keys.append(own)
-                    owners.append(np.full(len(own), d[0], np.int64))
+                    owners.append(np.full(len(own), doc, np.int64))
             if len(seen) > 500_000:
                 seen.clear()
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "doc"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(wanted.value), set()
+        seen: set = set()
         for b in batches:
             keys, owners, places = [], [], []
-            for h in _documents(b.column(0)):
-                if len(h) >= least and (d := S.digest(h)) not in seen:
-                    seen.add(d)
+            for h, doc, matched in zip(_documents(b.column(0)), b.column(1).to_pylist(), b.column(2), strict=True):
+                if doc not in seen:
+                    seen.add(doc)
                     runs, at = minimisers(h, least)
-                    place = np.flatnonzero(bits[(runs[at] >> np.uint64(64 - S.BITMAP_BITS)).astype(np.int64)])
-                    if len(place):
-                        keys.append(_runs(h, least)[place])
-                        owners.append(np.full(len(place), d[0], np.int64))
-                        places.append(place)
+                    place = np.flatnonzero(np.isin(runs[at], matched.values.to_numpy().view(np.uint64)))
+                    keys.append(_runs(h, least)[place])
+                    owners.append(np.full(len(place), doc, np.int64))
+                    places.append(place)
             if len(seen) > 500_000:
                 seen.clear()
             if keys:
@@ -121,16 +119,17 @@ def repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged_spans(x.values.to_numpy(), least) for x in b.column(1)], kind)], names=["doc", "spans"])
 
     shared = lambda df: df.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    matched = shared(rows.select("t").mapInArrow(suffixes, "key long, doc long"))
-    wanted = spark.sparkContext.broadcast(S.bitmap(matched))
-    found = rows.select("t").mapInArrow(windows, "key long, doc long, at long")
+    suffix_rows = rows.select("t", "doc").mapInArrow(suffixes, "key long, doc long")
+    matched = suffix_rows.join(shared(suffix_rows), "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("matched"))
+    found = rows.select("t", "doc").join(matched, "doc").select("t", "doc", "matched").mapInArrow(windows, "key long, doc long, at long")
     places = found.join(shared(found.select("key", "doc")), "key", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
     own = places.mapInArrow(spans, "doc long, spans array<struct<start: bigint, end: bigint>>")
 
-    signed = common.durable(rows.mapInArrow(sign, f"id {kind}, n long, d1 long, d2 long").where(F.col("n") >= least))
-    classes = signed.groupBy("n", "d1", "d2").agg(F.count("*").alias("copies"))
+    signed = rows.select("id", "t", "doc").mapInArrow(sign, f"id {kind}, doc long, n long, d1 long, d2 long")
+    signed = common.durable(signed.where(F.col("n") >= least))
+    classes = signed.groupBy("n", "d1", "d2").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
-    classes = classes.join(own.withColumnRenamed("doc", "d1"), "d1", "left")
+    classes = classes.join(own, "doc", "left")
     classes = classes.withColumn("spans", F.when(F.col("copies") > 1, whole).otherwise(F.col("spans"))).where("spans is not null")
     out = signed.join(classes, ["n", "d1", "d2"]).select("id", "copies", F.explode("spans").alias("s"))
     return out.select(F.col("id").alias(id_column), F.col("s.start").alias("start_word"), F.col("s.end").alias("end_word"), "copies")
