@@ -150,10 +150,12 @@ def mix_documents(
     if not keep_text:
         return narrow.select(F.col("id").alias(id_column), *[names[k] for k in new])
     # back to the whole rows: equal rows are told apart by their rank among themselves
-    twin = Window.partitionBy("digest_").orderBy(F.lit(0))
-    whole = docs.withColumn("digest_", digest).withColumn("twin_", F.row_number().over(twin))
-    narrow = narrow.withColumn("twin_", F.dense_rank().over(Window.partitionBy("digest").orderBy("rank"))).withColumnRenamed("digest", "digest_").drop("id", "rank")
-    full = whole.join(narrow, ["digest_", "twin_"]).drop("digest_", "twin_")
+    own_digest, own_twin = common.free_name(docs, "digest"), common.free_name(docs, "twin")
+    whole = docs.withColumn(own_digest, digest)
+    whole = whole.withColumn(own_twin, F.row_number().over(Window.partitionBy(own_digest).orderBy(F.lit(0))))
+    narrow = narrow.withColumn("twin_of", F.dense_rank().over(Window.partitionBy("digest").orderBy("rank"))).drop("id", "rank")
+    narrow = narrow.withColumnsRenamed({"digest": own_digest}).withColumnsRenamed({"twin_of": own_twin})
+    full = whole.join(narrow, [own_digest, own_twin]).drop(own_digest, own_twin)
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{common.WORD}"), F.lit(0)), F.lit(1), F.col(names["mix_words"]).cast("int")), "")
     partial = (F.col(names["mix_copy"]) >= 0) & (F.col(names["mix_words"]) < F.col(names["mix_size"]))
     full = full.withColumn(text_column, F.when(partial, cut).otherwise(F.col(text_column)))

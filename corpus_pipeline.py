@@ -27,7 +27,8 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as toxic go; trained on the labelled ones among those present."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, score_column="toxicity_").where(F.col("toxicity_") < TOXIC).select(*docs.columns)
+    scored = toxicity.score_documents(docs, model)
+    return scored.where(F.col(scored.columns[-1]) < TOXIC).select(*docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +41,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = jaccard.near_duplicates(docs, n=5, percent=80)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(stay, "doc_id", "left_semi").withColumn("nth_", F.row_number().over(one)).where("nth_ = 1")
+    nth = common.free_name(docs, "nth")
+    kept = docs.join(stay, "doc_id", "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes; a document cut at a source's target has its shorter text."""
-    return _as_documents(mixing.mix_documents(docs).where("mix_copy >= 0"), docs.columns)
+    return _as_documents(mixing.mix_documents(docs).where(F.col(common.free_name(docs, "mix_copy")) >= 0), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
