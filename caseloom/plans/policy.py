@@ -155,7 +155,7 @@ def fit_q(df: DataFrame, *, alpha: float = 1.0, use_logistic: bool = True) -> Fi
     """
     arms1, arms2 = schemas.A1_ARMS, schemas.A2_ARMS
     fit2 = logistic if use_logistic else ridge
-    df = with_states(df)
+    df = with_states(df).persist()  # every fit and the rules read it; recomputed if lost
     q2 = fit2(df, design(F.col("s2"), F.col("A2"), arms2), F.col("Y"), alpha)
     df = with_scores(df, "own2", q2, F.col("s2"), arms2)
     for a in arms1:
@@ -337,7 +337,7 @@ def simulate(spark: SparkSession, n: int, seed: int, truth: Truth | None = None)
     truth = truth or Truth()
     u = lambda tag: ranking.hash_uniform(F.lit(seed), F.col("id"), F.lit(tag))
     pick = lambda values, tag: F.element_at(F.array(*map(F.lit, values)), (F.floor(u(tag) * len(values)) + 1).cast("int"))
-    df = spark.range(n).withColumn("case_category", pick(("Cardio", "Neuro", "Endo", "MSK"), "cat")).withColumn("A1", pick(schemas.A1_ARMS, "a1"))
+    df = spark.range(0, n, 1, max(1, n // 50_000)).withColumn("case_category", pick(("Cardio", "Neuro", "Endo", "MSK"), "cat")).withColumn("A1", pick(schemas.A1_ARMS, "a1"))
     df = df.withColumn("R1_responder", u("r") < 0.4).withColumn("A2", F.when(F.col("R1_responder"), pick(RESPONDER_POOL, "a2")).otherwise(pick(OTHER_POOL, "a2")))
     df = df.withColumn("Y", (u("y") < truth.success(F.col("case_category"), F.col("A1"), F.col("R1_responder"), F.col("A2"))).cast("int"))
     part = {f"R1_{c}": F.floor(u(c) * 3).cast("int") for c in ("OPQRST", "red_flags", "pmh", "meds", "social")}
