@@ -1,8 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame functions only.
 
 A text is cut into paragraphs after words that its own content selects: about 2^level words
-each, the level rising with the text's length, so that most texts have 7 to 14. The
-digest of each distinct paragraph goes to one cell in each of three parts of the sketch; a
+each. The level is 4, 16 words, whatever the text's length; texts under 1344 characters have
+shorter paragraphs, so that they too are cut into several. The digest of each distinct paragraph goes to one cell in each of three parts of the sketch; a
 cell keeps a count, the xor of its digests and the xor of their checks. Subtracting two
 sketches cancels what the texts share; cells left with one digest give it up, and taking it
 from its other cells frees further ones, until the differing digests are known. If cells
@@ -19,12 +19,17 @@ from caseloom.llm import common
 #: Cells in each of the three parts: of a fingerprint, and of the retries.
 WIDTHS = (16, 64, 512)
 ROUNDS = 7
+#: A paragraph of a long text has about 2^MAX_LEVEL words.
+MAX_LEVEL = 4
+#: A paragraph ends after as many words where none is selected, as in one word said a thousand times.
+MAX_WORDS = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 _CELL = "struct<n: int, key: bigint, check: bigint>"
 
 
 def level_of(n_chars: Column) -> Column:
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / F.lit(42.0)))).cast("int")
+    rising = F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / F.lit(42.0))).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), rising))
 
 
 def paragraph_digests(text: Column, level: Column) -> Column:
@@ -32,37 +37,42 @@ def paragraph_digests(text: Column, level: Column) -> Column:
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
     cut = lambda w: F.when(F.xxhash64(w).bitwiseAND(mask) == 0, F.concat(w, F.lit("\x01"))).otherwise(w)
     marked = F.array_join(F.transform(F.split(text, _SPACE), cut), " ")
-    parts = F.filter(F.split(marked, "\x01"), lambda s: F.trim(s) != "")
+    ended = lambda s: F.split(F.regexp_replace(F.trim(s), f"((?:[^ ]++ ){{{MAX_WORDS}}})", "$1\x01"), "\x01")
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    parts = F.flatten(F.transform(F.split(marked, "\x01"), lambda s: F.when(spaces(s) > MAX_WORDS, ended(s)).otherwise(F.array(s))))
+    parts = F.filter(parts, lambda s: F.trim(s) != "")
     return F.array_distinct(F.transform(parts, lambda s: F.shiftrightunsigned(F.xxhash64(F.trim(s)), 4)))
 
 
-def _hits(key: Column, i: Column, width: int) -> Column:
-    """Whether a digest belongs to cell i: part i div width takes its bits from 16 * part on."""
-    bits = width.bit_length() - 1
-    return F.call_function("shiftright", key, F.shiftright(i, bits) * 16).bitwiseAND(F.lit(width - 1)) == i.bitwiseAND(F.lit(width - 1))
-
-
 def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("bigint").alias("key"), check.cast("bigint").alias("check"))
 
 
-def _toggled(cell: Column, sign: Column, key: Column) -> Column:
-    return _cell(cell["n"] + sign, cell["key"].bitwiseXOR(key), cell["check"].bitwiseXOR(F.xxhash64(key)))
+def _sums(entries: Column, width: int) -> Column:
+    """The cells of three parts for entries (n, key); part j takes its place from the bits 16 * j on, dealt high bits first."""
+    bits = width.bit_length() - 1
+    low = bits // 2
+    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
+    add = lambda c, p: _cell(c["n"] + p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(F.xxhash64(p["key"])))
+    of = lambda p, j, at, size: F.shiftright(p["key"], 16 * j + at).bitwiseAND(F.lit(size - 1))
+    cells = lambda own, j: F.transform(F.sequence(F.lit(0), F.lit((1 << low) - 1)), lambda i: F.aggregate(F.filter(own, lambda p: of(p, j, 0, 1 << low) == i), zero, add))
+    highs = F.sequence(F.lit(0), F.lit((width >> low) - 1))
+    part = lambda j: F.flatten(F.transform(F.transform(highs, lambda i: F.filter(entries, lambda p: of(p, j, low, width >> low) == i)), lambda own: cells(own, j)))
+    return F.concat(part(0), part(1), part(2))
+
+
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
 
 
 def sketch(digests: Column, width: int) -> Column:
     """The cells of three parts."""
-    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-    part = lambda j: F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.aggregate(F.filter(digests, lambda k: F.shiftright(k, 16 * j).bitwiseAND(F.lit(width - 1)) == i), zero, lambda c, k: _toggled(c, F.lit(1), k)),
-    )
-    return F.concat(part(0), part(1), part(2))
+    return _sums(F.transform(digests, lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"))), width)
 
 
 def difference(a: Column, b: Column, width: int) -> Column:
     """What peeling the difference of two sketches recovers: (only_a, only_b), or null if it stops early."""
-    cells = F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
+    cells = _minus(a, b)
     none = F.array().cast("array<struct<n: int, key: bigint>>")
 
     def peel(s: Column, _: Column) -> Column:
@@ -71,9 +81,8 @@ def difference(a: Column, b: Column, width: int) -> Column:
         return F.struct(s["cells"].alias("cells"), s["found"].alias("found"), pure.alias("pure"))
 
     def take(s: Column) -> Column:
-        less = lambda c, i: F.aggregate(s["pure"], c, lambda x, p: F.when(_hits(p["key"], i, width), _toggled(x, -p["n"], p["key"])).otherwise(x))
         return F.struct(
-            F.when(F.size(s["pure"]) == 0, s["cells"]).otherwise(F.transform(s["cells"], less)).alias("cells"),
+            F.when(F.size(s["pure"]) == 0, s["cells"]).otherwise(_minus(s["cells"], _sums(s["pure"], width))).alias("cells"),
             F.concat(s["found"], s["pure"]).alias("found"), none.alias("pure"),
         )
 
@@ -88,9 +97,11 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column
     """Share of common paragraphs, 2 * common / (|a| + |b|), found by peeling; 1 for two empty texts.
 
     a and b are the digests, used for their number and to sketch again when peeling stops.
-    Beyond the largest sketch the digests are compared themselves.
+    Texts with nothing in common, and those beyond the largest sketch, have the digests compared
+    themselves.
     """
     tries = [F.when(a == b, F.struct(F.array().cast("array<bigint>").alias("only_a"), F.array().cast("array<bigint>").alias("only_b"))), difference(sketch_a, sketch_b, WIDTHS[0])]
+    tries.insert(1, F.when(~F.arrays_overlap(a, b), F.struct(a.alias("only_a"), b.alias("only_b"))))
     for width in WIDTHS[1:]:
         tries.append(F.when(F.size(a) + F.size(b) <= 3 * width, difference(sketch(a, width), sketch(b, width), width)))
     tries.append(F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b")))

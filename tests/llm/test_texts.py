@@ -50,6 +50,21 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprint(frame(spark, MIXED)).count() == len(MIXED)
 
 
+def test_long_texts_are_cut_as_finely_as_short_ones(spark):
+    rng = random.Random(3)
+    rows = []
+    for i, n in enumerate((2_000, 6_000, 20_000)):
+        own = ["".join(rng.choices("abcdefg", k=6)) for _ in range(n)]
+        changed = [f"new{j}" if j % 200 == 100 else w for j, w in enumerate(own)]
+        rows += [(2 * i, " ".join(own), "a"), (2 * i + 1, " ".join(changed), "a")]
+    got = {r["doc_id"]: r for r in fingerprint.compare_with_edit(frame(spark, rows)).collect()}
+    for i, n in enumerate((2_000, 6_000, 20_000)):
+        assert int(got[2 * i]["fingerprint"].split("|")[1]) > n / 24
+        assert got[2 * i]["near_next"] > 0.8 and got[2 * i]["near_edited"] > 0.4
+    junk = [(1, "word " * 5_000, "a"), (2, "other text", "a")]
+    assert {r["doc_id"]: r["near_edited"] for r in fingerprint.compare_with_edit(frame(spark, junk)).collect()}[1] > 0
+
+
 def test_peeling_recovers_the_difference_or_says_not(spark):
     df = spark.createDataFrame([(list(range(100, 130)), list(range(103, 131)))], "a array<bigint>, b array<bigint>")
     hashed = df.select(*[F.transform(c, lambda k: F.shiftrightunsigned(F.xxhash64(k), 4)).alias(c) for c in ("a", "b")])
