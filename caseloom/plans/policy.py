@@ -266,7 +266,7 @@ def sample_report(df: DataFrame, n_parameters: int) -> DataFrame:
 
 
 def replicates(df: DataFrame, statistic: Callable[[pd.DataFrame], float], n_boot: int, *, m: int | None = None, seed: int = 0, order: str = "encounter_id") -> DataFrame:
-    """[INF-1, INF-2, MSC-11, UDF-4] (replicate, draw): a statistic of each resample; a failing one is null.
+    """[INF-1, INF-2, UDF-4] (replicate, draw): a statistic of each resample; a failing one is null.
 
     Rows are drawn by hashed places, so a replicate is the same on any cluster. A replicate's
     rows (m, a cohort) are one group; the replicates spread over the tasks.
@@ -290,6 +290,70 @@ def replicates(df: DataFrame, statistic: Callable[[pd.DataFrame], float], n_boot
     return drawn.groupBy("replicate").applyInPandas(one, "replicate long, draw double")
 
 
+def _solve(x: np.ndarray, y: np.ndarray, alpha: float, use_logistic: bool) -> np.ndarray:
+    """ridge or logistic over arrays: the same penalties, scales and steps."""
+    z = np.column_stack([x, np.ones(len(x))])
+    penalty = np.eye(z.shape[1]) * alpha
+    penalty[-1, -1] = 0
+    if not use_logistic:
+        return np.linalg.lstsq(z.T @ z + penalty, z.T @ y, rcond=None)[0]
+    sd = np.sqrt(np.maximum((z[:, :-1] ** 2).mean(0) - z[:, :-1].mean(0) ** 2, 0))
+    scale = np.append(np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0), 1)
+    z, w = z * scale, np.zeros(z.shape[1])
+    for _ in range(12):
+        q = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + penalty + 1e-9 * np.eye(len(w)), z.T @ (y - q) - penalty @ w)
+        w = w + np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-7:
+            break
+    return w * scale
+
+
+def _stage2(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    x = np.stack(frame["s2"].to_numpy())
+    arm = np.array([schemas.A2_ARMS.index(a) for a in frame["A2"]])
+    pools = [[a in (RESPONDER_POOL if r else OTHER_POOL) for a in schemas.A2_ARMS] for r in frame["R1_responder"]]
+    return x, arm, np.array(pools), frame["Y"].to_numpy(dtype=float)
+
+
+def _fit2(x: np.ndarray, arm: np.ndarray, y: np.ndarray, alpha: float, use_logistic: bool) -> np.ndarray:
+    n = len(schemas.A2_ARMS)
+    seen = ~np.isnan(y)
+    return _solve(np.column_stack([x, *[x * (arm == i)[:, None] for i in range(1, n)]])[seen], y[seen], alpha, use_logistic)
+
+
+def _best2(w: np.ndarray, x: np.ndarray, pools: np.ndarray, use_logistic: bool) -> np.ndarray:
+    k = x.shape[1]
+    base = x @ w[:k] + w[-1]
+    raw = np.column_stack([base, *[base + x @ w[k * i : k * (i + 1)] for i in range(1, len(schemas.A2_ARMS))]])
+    v = np.clip(1 / (1 + np.exp(-raw)) if use_logistic else raw, 0, 1)
+    return np.where(pools, v, -np.inf).max(1)
+
+
+def optimal_value(frame: pd.DataFrame, alpha: float = 1.0, use_logistic: bool = True) -> float:
+    """[MSC-11] In-sample value of the fitted policy, as fit_q has it, of a frame with s2, A2, R1_responder and Y."""
+    x, arm, pools, y = _stage2(frame)
+    w, k = _fit2(x, arm, y, alpha, use_logistic), len(schemas.A1_ARMS)
+    values = []
+    for i in range(k):
+        other = x.copy()
+        other[:, -k:] = np.eye(k)[i]
+        values.append(_best2(w, other, pools, use_logistic))
+    return float(np.max(values, axis=0).mean())
+
+
+def cross_fitted(frame: pd.DataFrame, folds: int = 5, alpha: float = 1.0, use_logistic: bool = True, seed: int = 0) -> float:
+    """[MSC-12] Mean value of each fold under a model of the others, as cross_fitted_value; rows are dealt to folds at random."""
+    x, arm, pools, y = _stage2(frame)
+    fold = np.random.default_rng(seed).permutation(len(y)) % folds
+    values = []
+    for i in range(folds):
+        own = fold == i
+        if own.any():
+            values.append(_best2(_fit2(x[~own], arm[~own], y[~own], alpha, use_logistic), x[own], pools[own], use_logistic))
+    return float(np.concatenate(values).mean())
+
+
 def subsample_size(n: int) -> int:
     """[FN-47]"""
     return max(2, int(n**0.75))
@@ -348,6 +412,33 @@ def simulate(spark: SparkSession, n: int, seed: int, truth: Truth | None = None)
     )
 
 
+def of_events(events: DataFrame) -> DataFrame:
+    """A row like simulate's for each user, from all of its events.
+
+    The last event is stage 2: its type gives the arm (within the pool), its value the
+    outcome. The first one's type is the stage-1 arm. Category, responder and the other
+    features are of the events before the last.
+    """
+    types = ("click", "error", "purchase", "signup", "view")
+    value = F.coalesce("value", F.lit(0.0))
+    at = F.struct("event_id", F.coalesce("event_type", F.lit("")).alias("type"), value.alias("value"))
+    u = events.groupBy("user_id").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), F.sum(value).alias("total"), F.count_distinct("event_type").alias("kinds"), *[F.count_if(F.col("event_type") == x).alias(f"n_{x}") for x in types])
+    seen = {x: (F.col(f"n_{x}") - (F.col("last.type") == x).cast("long")).cast("int") for x in types}
+    before = F.col("n") - 1
+    arm = lambda t, arms: F.when(t.isin("click", "error"), arms[0]).when(t.isin("purchase", "signup"), arms[1]).otherwise(arms[2])
+    often = F.array_max(F.array(*[F.struct(c.alias("c"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (c, k) in enumerate(zip(seen.values(), schemas.CATEGORIES, strict=False))]))["k"]
+    u = u.withColumn("R1_responder", F.coalesce(F.try_divide(F.col("total") - F.col("last.value"), before) >= 50, F.lit(False)))
+    a2 = arm(F.col("last.type"), schemas.A2_ARMS)
+    key = F.coalesce(F.col("user_id").cast("string"), F.lit(""))
+    part = {f"R1_{c}": seen[x] for c, x in zip(("OPQRST", "red_flags", "pmh", "meds", "social"), types, strict=True)}
+    return u.select(
+        F.concat(F.lit("e"), key).alias("encounter_id"), F.concat(F.lit("c"), key).alias("case_id"), often.alias("case_category"), F.lit("").alias("chief_complaint"), F.lit(0).alias("seed"),
+        arm(F.col("first.type"), schemas.A1_ARMS).alias("A1"), F.when(F.array_contains(pool(), a2), a2).otherwise(OTHER_POOL[0]).alias("A2"), before.cast("int").alias("R1_total"), "R1_responder",
+        *[c.alias(k) for k, c in part.items()], before.cast("int").alias("stage1_turns"), F.element_at(F.array(*map(F.lit, enc.LITERACY)), (F.col("kinds") % len(enc.LITERACY) + 1).cast("int")).alias("literacy_id"),
+        (F.col("last.value") > 50).cast("int").alias("Y"),
+    )
+
+
 def recovery(spark: SparkSession, sizes: Sequence[int], repeats: int, seed: int = 0, truth: Truth | None = None) -> list[dict]:
     """[INF-4, JN-15] How often the fit's arms are the true ones, by size and repeat; a failed fit is a row with its error."""
     truth, out = truth or Truth(), []

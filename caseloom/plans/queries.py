@@ -350,26 +350,28 @@ def ridge_normal_equations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def policy_rules(spark: SparkSession, d: str) -> DataFrame:
-    """ML-3..5, AGG-12, SRC-21: rules fitted to simulated rows, summarised by category and responder."""
-    fit = policy.fit_q(policy.simulate(spark, 400, 1))
+    """ML-3..5, AGG-12, SRC-21: rules fitted to a row per user of all events, summarised by category and responder."""
+    fit = policy.fit_q(policy.of_events(t(spark, d, "events")))
     both = [metrics.modal(p, ["case_category", "R1_responder"], fit.rules) for p in ("pi1", "pi2")]
     return fit.rules.groupBy("case_category", "R1_responder").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).join(both[0], ["case_category", "R1_responder"]).join(both[1], ["case_category", "R1_responder"])
 
 
 @query()
 def kfold_crossfit(spark: SparkSession, d: str) -> DataFrame:
-    """ML-7."""
-    return spark.createDataFrame([(policy.cross_fitted_value(policy.simulate(spark, 200, 2), 3, use_logistic=False),)], "value double")
+    """ML-7: a row per user of all events."""
+    return spark.createDataFrame([(policy.cross_fitted_value(policy.of_events(t(spark, d, "events")).persist()),)], "value double")
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    """INF-1..3: intervals of the mean outcome."""
-    df = policy.simulate(spark, 200, 3)
-    point, m = df.agg(F.avg("Y")).first()[0], policy.subsample_size(200)
-    full = policy.replicates(df.select("encounter_id", "Y"), lambda f: f["Y"].mean(), 100)
-    part = policy.replicates(df.select("encounter_id", "Y"), lambda f: f["Y"].mean(), 100, m=m)
-    rows = [("percentile", policy.interval(full, point)), ("m_out_of_n", policy.interval(part, point, kind="m_out_of_n", m=m, n=200)), ("projection", policy.interval(part, point, kind="projection"))]
+    """INF-1..3, MSC-11, MSC-12: intervals of the policy's value over all users; percentile of the cross-fitted one, the others in-sample."""
+    df = policy.of_events(t(spark, d, "events")).persist()
+    n, value, crossed = df.count(), policy.fit_q(df).value, policy.cross_fitted_value(df)
+    m, rows = policy.subsample_size(n), policy.with_states(df).select("encounter_id", "s2", "A2", "R1_responder", "Y")
+    full = policy.replicates(rows, policy.cross_fitted, 500, seed=2)
+    part = policy.replicates(rows, policy.optimal_value, 500, m=m)
+    other = policy.replicates(rows, policy.optimal_value, 500, m=m, seed=1)
+    rows = [("percentile", policy.interval(full, crossed)), ("m_out_of_n", policy.interval(part, value, kind="m_out_of_n", m=m, n=n)), ("projection", policy.interval(other, value, kind="projection"))]
     out = None
     for name, r in rows:
         out = r.withColumn("kind", F.lit(name)) if out is None else out.unionByName(r.withColumn("kind", F.lit(name)))

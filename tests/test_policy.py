@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from caseloom.plans import encounters, policy
+from caseloom.plans import encounters, policy, queries
 
 
 def test_ridge_matches_the_closed_form(spark):
@@ -41,3 +41,19 @@ def test_intervals(spark):
 def test_literacy_fallbacks(spark):
     df = spark.createDataFrame([({"vocabulary_register": "plain"},), ({"language_level": "advanced"},), ({},)], "p map<string,string>")
     assert [r[0] for r in df.select(encounters.literacy_of(F.col("p"))).collect()] == ["functional", "critical", "interactive"]
+
+
+def test_statistics_of_frames_are_those_of_the_fits(spark):
+    df = policy.simulate(spark, 150, 6)
+    frame = policy.with_states(df).toPandas()
+    assert abs(policy.optimal_value(frame) - policy.fit_q(df).value) < 1e-6
+    assert 0 < policy.cross_fitted(frame) < 1
+
+
+def test_policies_read_every_event(spark):
+    d = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{d}/events.parquet")
+    rows = policy.of_events(events)
+    assert rows.agg({"R1_total": "sum"}).first()[0] + rows.count() == events.count()
+    got = queries.policy_rules(spark, d).toPandas()
+    assert got.n.sum() == events.select("user_id").distinct().count()
