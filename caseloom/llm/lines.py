@@ -43,14 +43,15 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def drop_spread_lines(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE,
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, only_copies: bool = False,
 ) -> DataFrame:
     """All rows and columns, the text without its spread lines, plus removed_lines (long).
 
     A line is spread when it stands, as it is, on min_sites sites or more. Its first
     occurrence (by id, then text hash, then place) stays; the others go. A document that
-    would lose more than max_share of its characters keeps all of them: it is a copy, which
-    is for document deduplication to judge. Blank lines never go. A null site is a site. A
+    would lose more than max_share of its characters keeps all of them; with only_copies it
+    keeps just those whose first occurrence is at the same place of an equal text, so that
+    copies stay equal for document deduplication, and any other document loses them. Blank lines never go. A null site is a site. A
     null text stays null. Rows with equal id and text are treated alike. Null ids come
     first. An empty table gives no rows. If the input has a column removed_lines, the new
     one gets an underscore.
@@ -67,12 +68,16 @@ def drop_spread_lines(
     hits = common.durable(_lookup(lines.select("line", "k", "h", "pos", "n"), spread, count))
     first = hits.groupBy("line").agg(F.min(F.struct("k", "h", "pos")).alias("first"))
     gone = _lookup(hits, first, count).where(F.struct("k", "h", "pos") != F.col("first"))
-    gone = gone.groupBy("k", "h").agg(F.collect_set("pos").alias("gone"))
+    copied = (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos"))
+    gone = gone.groupBy("k", "h").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(copied, F.col("pos"))).alias("copied"))
     n_gone: Column = F.aggregate(F.transform("gone", lambda p: F.length(F.get(F.col("lines_"), p))), F.lit(0), lambda a, b: a + b)
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), text.alias("t_"), *key)
     out = inner.join(gone, ["k", "h"], "left").withColumn("lines_", F.when(F.col("gone").isNotNull(), split(F.col("t_"))))
-    goes = F.coalesce(F.col("gone").isNotNull() & (n_gone <= max_share * F.length("t_")), F.lit(False))
+    few = n_gone <= max_share * F.length("t_")
+    if only_copies:
+        out = out.withColumn("gone", F.when(few, F.col("gone")).otherwise(F.array_except("gone", "copied")))
+    goes = F.coalesce(F.col("gone").isNotNull() & (F.size("gone") > 0 if only_copies else few), F.lit(False))
     kept = F.array_join(F.filter("lines_", lambda x, i: ~F.array_contains("gone", i)), "\n")
     out = out.withColumn("goes", goes)
     new = {c: F.col(f"row_.`{c}`").alias(c) for c in names}

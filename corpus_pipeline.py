@@ -32,8 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sources go, but for their first occurrence; no document goes."""
-    return _as_documents(lines.drop_spread_lines(docs), docs.columns)
+    """Lines on many sources go, but for their first occurrence and whole copies of it; no document goes."""
+    return _as_documents(lines.drop_spread_lines(docs, only_copies=True), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,14 @@ def test_spread_lines_go_but_for_the_first(spark):
     assert len(mixed) == len(MIXED) and lines.drop_spread_lines(frame(spark, MIXED).limit(0)).count() == 0
 
 
+def test_mostly_boilerplate_is_cleaned_unless_a_copy(spark):
+    notice = "a notice that is on every site there is"
+    rows = [(i, f"{notice}\nown {i}", f"s{i}") for i in range(12)] + [(20 + i, f"{notice}\nown 0", f"s{i}") for i in range(3)]
+    out = {r["doc_id"]: r["text"] for r in lines.drop_spread_lines(frame(spark, rows), only_copies=True).collect()}
+    assert all(out[i] == f"own {i}" for i in range(1, 12))
+    assert {out[i] for i in (0, 20, 21, 22)} == {f"{notice}\nown 0"}
+
+
 def test_passages_equal_brute_force(spark):
     shared = " ".join(f"p{i}" for i in range(60))
     rows = [(10, f"a1 a2 {shared} a3", "a"), (11, " ".join(f"q{i}" for i in range(70)) + " " + shared.upper(), "b"), (12, " ".join(f"p{i}" for i in range(49)), "a"), (13, f"{shared} {shared}", "c"), (14, " ".join(["r"] * 300), "c"), (15, LONG, "b"), *MIXED]
