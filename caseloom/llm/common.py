@@ -32,6 +32,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back; goes when the application ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

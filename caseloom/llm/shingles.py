@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, whole batches at a time, and a bounded table of how common they are."""
+"""Word shingles as 64-bit hashes, whole batches at a time."""
 
 from __future__ import annotations
 
@@ -7,17 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from caseloom.llm import common
-
 _SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _SLICE = 1 << 19
-#: The table of levels has 2**TABLE_BITS bytes, whatever the input: 16 MB.
-TABLE_BITS = 24
-_KEPT = 40
-BITMAP_BITS = 24
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -105,110 +96,3 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits of a set, as two longs."""
     x = xxhash.xxh3_128_intdigest(s.tobytes())
     return tuple(v - (1 << 64) if v >> 63 else v for v in (x >> 64, x & ((1 << 64) - 1)))
-
-
-def _coded(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending 40-bit values of one slice with their counts; differences in halves compress well."""
-    step = np.diff(values).astype(np.uint32)
-    many = np.flatnonzero(counts > 1).astype("<u4")
-    head = np.array([len(values), values[0], len(many)], "<u8")
-    return b"".join(x.tobytes() for x in (head, (step & 0xFFFF).astype("<u2"), (step >> 16).astype("<u2"), many, counts[many].astype("<u4")))
-
-
-def _decoded(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, first, many = (int(x) for x in np.frombuffer(b, "<u8", 3))
-    at = 24
-    low = np.frombuffer(b, "<u2", n - 1, at).astype(np.uint64)
-    high = np.frombuffer(b, "<u2", n - 1, at + 2 * (n - 1)).astype(np.uint64)
-    at += 4 * (n - 1)
-    counts = np.ones(n, np.int64)
-    counts[np.frombuffer(b, "<u4", many, at)] = np.frombuffer(b, "<u4", many, at + 4 * many)
-    return np.concatenate([[np.uint64(first)], np.uint64(first) + np.cumsum((high << np.uint64(16)) | low)]).astype(np.uint64), counts
-
-
-def level_table(texts: DataFrame, total: int, n: int) -> np.ndarray:
-    """For each of 2**TABLE_BITS hash ranges, floor(log2) of how many texts the commonest shingle in it is in.
-
-    Counts cover every shingle of every text (column t). Map tasks send sorted, counted
-    runs; a slice of the hash range is merged in one task, and there are so many slices
-    that each has about four million shingles.
-    """
-    bits = min(TABLE_BITS, max(8, (max(total, 1) // 4_000_000).bit_length()))
-    shift = np.uint64(_KEPT - bits)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            which = (values >> shift).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(which)) + 1
-            bounds = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([int(which[a]) for a, _ in bounds], pa.int32()), pa.array([_coded(values[a:b], counts[a:b]) for a, b in bounds], pa.binary())], names=["slice", "runs"])
-
-        for b in batches:
-            for s in shingle_sets(b.column(0), n):
-                held.append(s >> np.uint64(64 - _KEPT))
-                size += len(s)
-                if size > 2_000_000:
-                    yield out()
-                    size = 0
-        if size:
-            yield out()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def out() -> pa.RecordBatch:
-            values, counts = (np.concatenate(x) for x in zip(*map(_decoded, held), strict=True))
-            order = np.argsort(values, kind="stable")
-            values, counts = values[order], counts[order]
-            first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
-            level = np.floor(np.log2(np.add.reduceat(counts, first))).astype(np.uint8)
-            cell = ((values[first] >> np.uint64(_KEPT - TABLE_BITS)) & np.uint64((1 << (TABLE_BITS - bits)) - 1)).astype(np.int64)
-            begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            part = np.zeros(1 << (TABLE_BITS - bits), np.uint8)
-            part[cell[begin]] = np.maximum.reduceat(level, begin)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["slice", "part"])
-
-        for b in batches:
-            for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if s != at and held:
-                    yield out()
-                    held = []
-                at = s
-                held.append(r)
-        if held:
-            yield out()
-
-    sent = texts.select("t").mapInArrow(send, "slice int, runs binary")
-    parts = sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, part binary")
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    width = 1 << (TABLE_BITS - bits)
-    for row in parts.collect():  # the table's bytes, whose number is fixed
-        table[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["part"], np.uint8)
-    return table
-
-
-def texts_of(docs: DataFrame, text_column: str) -> DataFrame:
-    return docs.select(common.text_of(F.col(text_column).cast("string")).alias("t"))
-
-
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """A set of longs (column key) as a bitmap of 2**BITMAP_BITS bits, 2 MB whatever their number."""
-    bits = keys.select(F.shiftrightunsigned("key", 64 - BITMAP_BITS).alias("b")).distinct().withColumn("part", F.shiftright("b", 19))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for b in batches:
-            bit, part = (b.column(i).to_numpy() for i in (0, 1))
-            for p in np.unique(part).tolist():
-                parts.setdefault(p, np.zeros(1 << 19, bool))[bit[part == p] & ((1 << 19) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros(1 << BITMAP_BITS, bool)
-    for r in bits.repartition("part").mapInArrow(run, "part long, bits binary").collect():
-        out[r["part"] << 19 : (r["part"] + 1) << 19] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
-    return np.packbits(out)

@@ -1,7 +1,9 @@
 import random
 from itertools import combinations
 
-from caseloom.llm import jaccard
+import numpy as np
+
+from caseloom.llm import jaccard, trie
 from tests.llm.helpers import AZ, MIXED, frame, words
 
 
@@ -44,3 +46,45 @@ def test_components_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert jaccard.near_duplicates(frame(spark, MIXED).limit(0)).count() == 0
+
+
+def test_small_blocks_and_slices_give_the_same(spark, monkeypatch):
+    """Large partitions, cut into blocks, and many slices: as at scale."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "MERGED", 500)
+    monkeypatch.setattr(jaccard, "RUN", 300)
+    monkeypatch.setattr(jaccard, "CHUNK", 200)
+    monkeypatch.setattr(jaccard, "FEW", 0)
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(40)]
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(90):  # a star of edits, some of which only link with other edits
+        text = list(base)
+        for _ in range(rng.randint(1, 4)):
+            text[rng.randrange(len(text))] = rng.choice(vocabulary[:3])
+        rows.append((i, " ".join(text), "a"))
+    got = jaccard.near_duplicates(frame(spark, rows), n=4, percent=85)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 4, 85)
+
+
+def test_trie_connects_what_pairs_connect():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        base = rng.choice(200, 40, replace=False)
+        sets = []
+        for _ in range(25):
+            drop = rng.random(40) < 0.08
+            sets.append(np.unique(np.concatenate([base[~drop], rng.choice(400, rng.integers(0, 6))])).astype(np.uint64)[::-1].copy())
+        up = list(range(25))
+        down = list(range(25))
+        for a, b in combinations(range(25), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                up = [up[a] if x == up[b] else x for x in up]
+        for a, b in trie.connected(sets, 85):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+            down = [down[a] if x == down[b] else x for x in down]
+        same = lambda x: [[i for i in range(25) if x[i] == x[j]] for j in range(25)]
+        assert same(up) == same(down)
