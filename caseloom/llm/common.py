@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.sources.shared import durable, kept, scratch, shared_dir
+
+__all__ = ["WORD", "durable", "free_name", "kept", "scratch", "shared_dir", "table", "text_of"]
+
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,36 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="caseloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a replicated checkpoint; survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back; goes when the application ends."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    jvm = df.sparkSession.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
