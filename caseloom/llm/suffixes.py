@@ -2,11 +2,16 @@
 
 Of all suffixes (one a word) only those stay that begin at a minimiser: the smallest hash of
 26 words among 25 neighbouring ones. Any two equal passages of 50 words hold a minimiser at
-the same place. The suffixes are brought together by their first 26 words, neighbours that
-come from different documents are matches. Matches are then extended left and right: of
-every document the windows of 50 words around a matched minimiser are compared in the same
-way, and those that another document has too are joined to the longest passages.
-
+the same place. The suffixes are sorted by their first four words, then by a hash of their
+first 26, in range partitions; neighbours with the same 26 words from different documents
+are matches. Each match is then extended to the left and right: the passages of 50 words
+around a matched minimiser, one for each place where such a passage can begin, are sorted
+and compared with their neighbours in the same way, and those that another document has too
+are joined to the longest passages. Extending along the one nearest neighbour alone would
+miss a passage whose left part one document shares and whose right part another.
+
+Sorting by (content, document) in ranges leaves no key in one task, however common: of what
+stands at the edges of the ranges, a few rows each, one more small comparison decides.
 Documents with the same words are one in all this; where there are several, all of each is
 a repeated passage.
 """
@@ -54,6 +59,65 @@ def minimisers(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return runs, np.argmin(window, axis=1) + np.arange(len(window))
 
 
+def _neighbours(records: DataFrame, by: list[str], name: str) -> DataFrame:
+    """doc, at of the records (by.., doc, at; longs) whose ``by`` another document has too: sorted, each compared with its neighbours."""
+    width = len(by)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: np.ndarray | None = None  # the key that the range begins with
+        rest = np.zeros((0, width + 2), np.int64)  # rows of the last key, while they are of one document
+        known = False  # whether the last key is known to have several documents
+
+        def batch(rows: np.ndarray, edge: bool) -> pa.RecordBatch:
+            columns = [pa.array(np.full(len(rows), edge)), *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(width + 2)]]
+            return pa.RecordBatch.from_arrays(columns, names=["edge", *by, "doc", "at"])
+
+        def mark(rows: np.ndarray) -> np.ndarray:
+            """Two rows with no place that tell other ranges of a key with several documents."""
+            two = rows[[0, -1]].copy()
+            two[:, -1] = -1
+            two[1, -2] = two[0, -2] ^ 1
+            return two
+
+        for b in batches:
+            rows = np.column_stack([c.to_numpy() for c in b.columns])
+            if not len(rows):
+                continue
+            if first is None:
+                first = rows[0, :width].copy()
+            if len(rest):
+                rows = np.concatenate([rest, rows])
+            elif known and not (rows[0, :width] == last).all():
+                known = False
+            new = np.append(True, (rows[1:, :width] != rows[:-1, :width]).any(axis=1))
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(rows))
+            several = rows[begin, width] != rows[end - 1, width]
+            several[0] |= known
+            edge = np.zeros(len(begin), bool)
+            edge[0] = (rows[0, :width] == first).all()
+            size = end - begin
+            matched = np.repeat(several, size)
+            if several[0] and edge[0] and not known:
+                yield batch(mark(rows[: end[0]]), True)
+            yield batch(rows[matched], False)
+            if edge[0] and not several[0] and len(begin) > 1:
+                yield batch(rows[: end[0]], True)
+            last = rows[-1, :width].copy()
+            known = bool(several[-1])
+            rest = rows[:0] if known else rows[begin[-1] :]
+            tail = rows[begin[-1] :][[0, -1]]
+        if first is not None:
+            yield batch(mark(tail) if known else rest, True)
+
+    ranges = records.select(*by, "doc", "at").repartitionByRange(*by, "doc").sortWithinPartitions(*by, "doc")
+    found = common.kept(ranges.mapInArrow(compare, "edge boolean, " + ", ".join(f"{c} long" for c in [*by, "doc", "at"])), name)
+    edges = found.where("edge")
+    shared = edges.groupBy(*by).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select(*by)
+    late = edges.where("at >= 0").join(shared, by, "left_semi")
+    return found.where("NOT edge").unionByName(late).select("doc", "at")
+
+
 def merged_spans(starts: np.ndarray, least: int) -> list[dict[str, int]]:
     starts = np.unique(starts)
     cut = np.flatnonzero(np.diff(starts) > least)  # windows that overlap or touch are one passage
@@ -83,33 +147,33 @@ def repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
-            keys, owners = [], []
+            heads, keys, owners, places = [], [], [], []
             for h, doc in zip(_documents(b.column(0)), b.column(1).to_pylist(), strict=True):
                 if len(h) >= least and doc not in seen:
                     seen.add(doc)
                     runs, at = minimisers(h, least)
-                    own = np.unique(runs[np.unique(at)])
-                    keys.append(own)
-                    owners.append(np.full(len(own), doc, np.int64))
+                    at = np.unique(at)
+                    head = np.zeros(len(at), np.uint64)
+                    for j in range(4):
+                        head = (head << np.uint64(16)) | (h[at + j] >> np.uint64(48))
+                    heads.append(head)
+                    keys.append(runs[at])
+                    owners.append(np.full(len(at), doc, np.int64))
+                    places.append(at)
             if len(seen) > 500_000:
                 seen.clear()
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["key", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (heads, keys, owners, places)], names=["head", "key", "doc", "at"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
         for b in batches:
             keys, owners, places = [], [], []
             for h, doc, matched in zip(_documents(b.column(0)), b.column(1).to_pylist(), b.column(2), strict=True):
-                if doc not in seen:
-                    seen.add(doc)
-                    runs, at = minimisers(h, least)
-                    place = np.flatnonzero(np.isin(runs[at], matched.values.to_numpy().view(np.uint64)))
-                    keys.append(_runs(h, least)[place])
-                    owners.append(np.full(len(place), doc, np.int64))
-                    places.append(place)
-            if len(seen) > 500_000:
-                seen.clear()
+                _, at = minimisers(h, least)
+                place = np.flatnonzero(np.isin(at, matched.values.to_numpy()))
+                keys.append(_runs(h, least)[place])
+                owners.append(np.full(len(place), doc, np.int64))
+                places.append(place)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], names=["key", "doc", "at"])
 
@@ -118,15 +182,15 @@ def repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([merged_spans(x.values.to_numpy(), least) for x in b.column(1)], kind)], names=["doc", "spans"])
 
-    shared = lambda df: df.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
-    suffix_rows = rows.select("t", "doc").mapInArrow(suffixes, "key long, doc long")
-    matched = suffix_rows.join(shared(suffix_rows), "key", "left_semi").groupBy("doc").agg(F.collect_set("key").alias("matched"))
-    found = rows.select("t", "doc").join(matched, "doc").select("t", "doc", "matched").mapInArrow(windows, "key long, doc long, at long")
-    places = found.join(shared(found.select("key", "doc")), "key", "left_semi").groupBy("doc").agg(F.collect_set("at").alias("at"))
+    signed = rows.select("id", "t", "doc").mapInArrow(sign, f"id {kind}, doc long, n long, d1 long, d2 long")
+    signed = common.kept(signed.where(F.col("n") >= least), "signed")
+    matched = _neighbours(rows.select("t", "doc").mapInArrow(suffixes, "head long, key long, doc long, at long"), ["head", "key"], "suffixes")
+    pick = signed.groupBy("doc").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("pick"))  # one row of each text
+    matched = matched.groupBy("doc").agg(F.collect_set("at").alias("matched")).join(pick, "doc")
+    found = rows.alias("x").join(matched.alias("y"), F.expr("x.doc = y.doc AND x.id <=> y.pick.id")).select("x.t", "x.doc", "y.matched").mapInArrow(windows, "key long, doc long, at long")
+    places = _neighbours(found, ["key"], "windows").groupBy("doc").agg(F.collect_set("at").alias("at"))
     own = places.mapInArrow(spans, "doc long, spans array<struct<start: bigint, end: bigint>>")
 
-    signed = rows.select("id", "t", "doc").mapInArrow(sign, f"id {kind}, doc long, n long, d1 long, d2 long")
-    signed = common.durable(signed.where(F.col("n") >= least))
     classes = signed.groupBy("n", "d1", "d2").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"))
     whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n").alias("end")))
     classes = classes.join(own, "doc", "left")
