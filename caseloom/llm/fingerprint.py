@@ -1,12 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame functions only.
 
-A text is cut into paragraphs after words that its own content selects: about 2^level words
-each. The level is 4, 16 words, whatever the text's length; texts under 1344 characters have
-shorter paragraphs, so that they too are cut into several. The digest of each distinct paragraph goes to one cell in each of three parts of the sketch; a
-cell keeps a count, the xor of its digests and the xor of their checks. Subtracting two
-sketches cancels what the texts share; cells left with one digest give it up, and taking it
-from its other cells frees further ones, until the differing digests are known. If cells
-remain, the two texts are sketched again with four times the cells.
+A text is cut into paragraphs after words that its own content selects: 16 words on average
+(level 4), whatever its length. The digest of each distinct paragraph goes to one cell in
+each of three parts of the sketch; a cell keeps a count, the xor of its digests and the xor
+of their checks. Subtracting two sketches cancels what the texts share; cells left with one
+digest give it up, and taking it from its other cells frees further ones, until the
+differing digests are known. If cells remain, the two texts are sketched again with more
+cells, several times as many as both have digests.
+
+A text under 1344 characters would have few paragraphs; its fingerprint also has a sketch of
+shorter ones. Two fingerprints are compared at the level of their finest paragraphs if that
+is the same, else at level 4, which every fingerprint has: so any two can be subtracted.
 """
 
 from __future__ import annotations
@@ -16,9 +20,9 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import common
 
-#: Cells in each of the three parts: of a fingerprint, and of the retries.
-WIDTHS = (16, 64, 512)
-ROUNDS = 7
+#: Cells in each of the three parts of a fingerprint.
+WIDTH = 16
+ROUNDS = 8
 #: A paragraph of a long text has about 2^MAX_LEVEL words.
 MAX_LEVEL = 4
 #: A paragraph ends after as many words where none is selected, as in one word said a thousand times.
@@ -48,16 +52,31 @@ def _cell(n: Column, key: Column, check: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), key.cast("bigint").alias("key"), check.cast("bigint").alias("check"))
 
 
-def _sums(entries: Column, width: int) -> Column:
-    """The cells of three parts for entries (n, key); part j takes its place from the bits 16 * j on, dealt high bits first."""
+def _check(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+#: Cells of a part: a power of two, or (low bits, the highest number that they make, the highest that the high bits make).
+Width = int | tuple[Column, Column, Column]
+
+
+def _places(width: Width) -> tuple[Column, Column, Column]:
+    if not isinstance(width, int):
+        return width
     bits = width.bit_length() - 1
     low = bits // 2
+    return F.lit(low), F.lit((1 << low) - 1), F.lit((1 << (bits - low)) - 1)
+
+
+def _sums(entries: Column, width: Width) -> Column:
+    """The cells of three parts for entries (n, key); part j takes its place from the bits 16 * j on, dealt high bits first."""
+    low, lows, highs = _places(width)
     zero = _cell(F.lit(0), F.lit(0), F.lit(0))
-    add = lambda c, p: _cell(c["n"] + p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(F.xxhash64(p["key"])))
-    of = lambda p, j, at, size: F.shiftright(p["key"], 16 * j + at).bitwiseAND(F.lit(size - 1))
-    cells = lambda own, j: F.transform(F.sequence(F.lit(0), F.lit((1 << low) - 1)), lambda i: F.aggregate(F.filter(own, lambda p: of(p, j, 0, 1 << low) == i), zero, add))
-    highs = F.sequence(F.lit(0), F.lit((width >> low) - 1))
-    part = lambda j: F.flatten(F.transform(F.transform(highs, lambda i: F.filter(entries, lambda p: of(p, j, low, width >> low) == i)), lambda own: cells(own, j)))
+    add = lambda c, p: _cell(c["n"] + p["n"], c["key"].bitwiseXOR(p["key"]), c["check"].bitwiseXOR(_check(p["key"])))
+    of = lambda p, at, top: F.call_function("shiftright", p["key"], at).bitwiseAND(top)
+    each = lambda top: F.sequence(F.lit(0).cast("bigint"), top.cast("bigint"))
+    cells = lambda own, j: F.transform(each(lows), lambda i: F.aggregate(F.filter(own, lambda p: of(p, F.lit(16 * j), lows) == i), zero, add))
+    part = lambda j: F.flatten(F.transform(F.transform(each(highs), lambda i: F.filter(entries, lambda p: of(p, F.lit(16 * j) + low, highs) == i)), lambda own: cells(own, j)))
     return F.concat(part(0), part(1), part(2))
 
 
@@ -65,18 +84,18 @@ def _minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
 
 
-def sketch(digests: Column, width: int) -> Column:
+def sketch(digests: Column, width: Width = WIDTH) -> Column:
     """The cells of three parts."""
     return _sums(F.transform(digests, lambda k: F.struct(F.lit(1).alias("n"), k.alias("key"))), width)
 
 
-def difference(a: Column, b: Column, width: int) -> Column:
+def difference(a: Column, b: Column, width: Width = WIDTH) -> Column:
     """What peeling the difference of two sketches recovers: (only_a, only_b), or null if it stops early."""
     cells = _minus(a, b)
     none = F.array().cast("array<struct<n: int, key: bigint>>")
 
     def peel(s: Column, _: Column) -> Column:
-        pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"])))
+        pure = F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["check"] == _check(c["key"])))
         pure = F.array_distinct(F.transform(pure, lambda c: F.struct(c["n"].alias("n"), c["key"].alias("key"))))
         return F.struct(s["cells"].alias("cells"), s["found"].alias("found"), pure.alias("pure"))
 
@@ -93,38 +112,109 @@ def difference(a: Column, b: Column, width: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS - 1)), start, turn, done)
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column:
-    """Share of common paragraphs, 2 * common / (|a| + |b|), found by peeling; 1 for two empty texts.
+def _likeness(n_a: Column, n_b: Column, n_only_a: Column) -> Column:
+    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise(2.0 * (n_a - n_only_a) / (n_a + n_b))
+
 
-    a and b are the digests, used for their number and to sketch again when peeling stops.
-    Texts with nothing in common, and those beyond the largest sketch, have the digests compared
-    themselves.
+def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, retry: Width) -> Column:
+    """Share of common paragraphs, 2 * common / (|a| + |b|), found by peeling the difference of two sketches; 1 for two empty texts.
+
+    a and b are the digests: their numbers count, and where peeling stops they are sketched
+    again with parts of the width retry. Where no digest is common nothing is there to be
+    told apart. Should the retry fail too, which needs digests that meet in all three parts,
+    the digests are compared themselves.
     """
-    tries = [F.when(a == b, F.struct(F.array().cast("array<bigint>").alias("only_a"), F.array().cast("array<bigint>").alias("only_b"))), difference(sketch_a, sketch_b, WIDTHS[0])]
-    tries.insert(1, F.when(~F.arrays_overlap(a, b), F.struct(a.alias("only_a"), b.alias("only_b"))))
-    for width in WIDTHS[1:]:
-        tries.append(F.when(F.size(a) + F.size(b) <= 3 * width, difference(sketch(a, width), sketch(b, width), width)))
-    tries.append(F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b")))
-    common_ = F.size(a) - F.size(F.coalesce(*tries)["only_a"])
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(2.0 * common_ / (F.size(a) + F.size(b)))
-
-
-def as_text(level: Column, digests: Column, cells: Column) -> Column:
-    """A sketch as a string: level, number of digests, then the cells that are not empty."""
-    one = lambda c, i: F.when(c["n"] != 0, F.concat(i.cast("string"), F.lit(":"), c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"].bitwiseAND(F.lit(0xFFFF))))))
+    none = F.array().cast("array<bigint>")
+    same = F.when(a == b, F.struct(none.alias("only_a"), none.alias("only_b")))
+    apart = F.when(~F.arrays_overlap(a, b), F.struct(a.alias("only_a"), b.alias("only_b")))
+    compared = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
+    found = F.coalesce(same, apart, difference(sketch_a, sketch_b), difference(sketch(a, retry), sketch(b, retry), retry), compared)
+    return _likeness(F.size(a), F.size(b), F.size(found["only_a"]))
+
+
+def _sketch_text(level: Column, digests: Column, cells: Column) -> Column:
+    one = lambda c, i: F.when(c["n"] != 0, F.concat(i.cast("string"), F.lit(":"), c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"]))))
     return F.concat_ws("|", level.cast("string"), F.size(digests).cast("string"), F.array_join(F.transform(cells, one), ","))
 
 
+def parsed(fingerprint: Column) -> Column:
+    """The sketches of a fingerprint's string, by level: map of struct(n, cells)."""
+    number = lambda x: F.conv(x, 16, 10).cast("bigint")
+    zero = _cell(F.lit(0), F.lit(0), F.lit(0))
+
+    def cells(text: Column) -> Column:
+        parts = F.transform(F.filter(F.split(text, ","), lambda x: x != ""), lambda x: F.split(x, ":"))
+        table = F.map_from_entries(F.transform(parts, lambda x: F.struct(x[0].cast("int").alias("k"), _cell(x[1].cast("int"), number(x[2]), number(x[3])).alias("v"))))
+        return F.transform(F.sequence(F.lit(0), F.lit(3 * WIDTH - 1)), lambda i: F.coalesce(F.try_element_at(table, i), zero))
+
+    fields = F.transform(F.split(fingerprint, ";"), lambda x: F.split(x, r"\|"))
+    return F.map_from_entries(F.transform(fields, lambda x: F.struct(x[0].cast("int").alias("level"), F.struct(x[1].cast("int").alias("n"), cells(x[2]).alias("cells")).alias("own"))))
+
+
+def likeness_of(a: Column, b: Column) -> Column:
+    """The likeness of two fingerprints' strings; null where peeling stops and the texts are needed."""
+    fine = lambda x: F.array_min(F.map_keys(x))
+    level = F.when(fine(a) == fine(b), fine(a)).otherwise(MAX_LEVEL)
+    x, y = F.try_element_at(a, level), F.try_element_at(b, level)
+    return _likeness(x["n"], y["n"], F.size(difference(x["cells"], y["cells"])["only_a"]))
+
+
+def digests_of(df: DataFrame, **texts: str) -> DataFrame:
+    """df with, for each name=text column: name_level, name_digests, and name_digests4, those at level 4 where that isn't the text's own level, else null.
+
+    All names go in a few steps, as every step analyses the whole plan again.
+    """
+    df = df.withColumns({f"{n}_level": level_of(F.length(t)) for n, t in texts.items()})
+    own = {f"{n}_digests": paragraph_digests(F.col(t), F.col(f"{n}_level")) for n, t in texts.items()}
+    return df.withColumns({**own, **{f"{n}_digests4": F.when(F.col(f"{n}_level") < MAX_LEVEL, paragraph_digests(F.col(t), F.lit(MAX_LEVEL))) for n, t in texts.items()}})
+
+
+def cells_of(df: DataFrame, *names: str) -> DataFrame:
+    """df with name_cells and name_cells4, the sketches of the digests; level 4 is the own level of long texts."""
+    parts = [f"{n}_{part}" for n in names for part in ("digests", "digests4")]
+    df = df.withColumn("sketches", F.transform(F.array(*parts), lambda d: F.when(d.isNotNull(), sketch(d))))
+    at = lambda n, i: F.get("sketches", F.lit(2 * names.index(n) + i))
+    df = df.withColumns({**{f"{n}_cells": at(n, 0) for n in names}, **{f"{n}_cells4": F.coalesce(at(n, 1), at(n, 0)) for n in names}, **{f"{n}_digests4": F.coalesce(f"{n}_digests4", f"{n}_digests") for n in names}})
+    return df.drop("sketches")
+
+
+def as_text(name: str) -> Column:
+    """A fingerprint as a string: for each level the level, the number of digests and the cells that are not empty, as place:count:key:check."""
+    fine = _sketch_text(F.col(f"{name}_level"), F.col(f"{name}_digests"), F.col(f"{name}_cells"))
+    return F.concat_ws(";", F.when(F.col(f"{name}_level") < MAX_LEVEL, fine), _sketch_text(F.lit(MAX_LEVEL), F.col(f"{name}_digests4"), F.col(f"{name}_cells4")))
+
+
+def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
+    """df with, for each out=(a, b), the likeness of two texts' sketches at the level that they are compared at.
+
+    A retry has parts four times as wide as both texts have digests, rounded up.
+    """
+    ones = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+
+    def sides(a: str, b: str) -> Column:
+        fine = F.col(f"{a}_level") == F.col(f"{b}_level")
+        pick = lambda x, part: F.when(fine, F.col(f"{x}_{part}")).otherwise(F.col(f"{x}_{part}4"))
+        return F.struct(*[pick(x, part).alias(f"{part}_{side}") for side, x in (("a", a), ("b", b)) for part in ("digests", "cells")])
+
+    def wider(p: Column) -> Column:
+        low = F.floor(F.log2(F.greatest(F.size(p["digests_a"]) + F.size(p["digests_b"]), F.lit(1))) / 2).cast("int") + 2
+        return F.struct(p.alias("p"), low.alias("low"), ones(low).alias("ones"))
+
+    both = F.transform(F.array(*[sides(a, b) for a, b in pairs.values()]), wider)
+    near = lambda x: likeness(x["p"]["digests_a"], x["p"]["digests_b"], x["p"]["cells_a"], x["p"]["cells_b"], (x["low"], x["ones"], x["ones"]))
+    df = df.withColumn("pairs", both).withColumn("nears", F.transform("pairs", near))
+    return df.withColumns({out: F.get("nears", F.lit(i)) for i, out in enumerate(pairs)}).drop("pairs", "nears")
+
+
 def fingerprint(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and fingerprint, a string, of each row; equal texts have equal ones.
 
     A null text is empty, and its fingerprint has no paragraphs. Repeated rows, null ids and
     texts of any length each get their row; other columns are not read; no rows give none.
     """
-    text = common.text_of(F.col(text_column).cast("string"))
-    out = docs.select(F.col(id_column), text.alias("t")).withColumn("level", level_of(F.length("t")))
-    out = out.withColumn("digests", paragraph_digests(F.col("t"), F.col("level"))).withColumn("cells", sketch(F.col("digests"), WIDTHS[0]))
-    return out.select(id_column, as_text(F.col("level"), F.col("digests"), F.col("cells")).alias("fingerprint"))
+    out = docs.select(F.col(id_column), common.text_of(F.col(text_column).cast("string")).alias("own_text"))
+    out = cells_of(digests_of(out, own="own_text"), "own")
+    return out.select(id_column, as_text("own").alias("fingerprint"))
 
 
 def previous_of(keys: DataFrame, by: list[str], carried: list[str]) -> DataFrame:
@@ -161,28 +251,15 @@ def compare_with_edit(docs: DataFrame, *, id_column: str = "doc_id", text_column
     order = previous_of(rows.select("k", "h", F.length("t").cast("long").alias("n")).distinct(), ["k", "h"], ["n"])
     placed = rows.join(order, ["k", "h"])
     first = Window.partitionBy("k", "h").orderBy(F.lit(0))
-    level = F.greatest(level_of(F.col("n")), level_of(F.col("prev_n")))
     heads = placed.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     half = F.floor(F.col("prev_n") / 2).cast("int")
-    heads = heads.select(F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.substring(F.col("t"), F.lit(1), half).alias("next_head"), level.alias("next_level"), paragraph_digests(F.col("t"), level).alias("next_digests"))
-    both = placed.select("k", "h", "t", "n").join(heads, ["k", "h"])
+    heads = digests_of(heads.select(F.col("prev_k").alias("k"), F.col("prev_h").alias("h"), F.substring(F.col("t"), F.lit(1), half).alias("next_head"), "t"), next="t")
+    both = placed.select("k", "h", "t", "n").join(heads.drop("t"), ["k", "h"])
     keep = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), keep), F.col("next_head")))
-    both = both.withColumn("level", level_of(F.col("n"))).withColumn("edited_level", level_of(F.length("edited")))
-    digests = lambda t, at, own: F.when(F.col(at) == F.col(own[1]), F.col(own[0])).otherwise(paragraph_digests(F.col(t), F.col(at)))
-    both = both.withColumn("a", paragraph_digests(F.col("t"), F.col("level"))).withColumn("e", paragraph_digests(F.col("edited"), F.col("edited_level")))
-    both = both.withColumn("a_next", digests("t", "next_level", ("a", "level"))).withColumn("e_same", digests("edited", "level", ("e", "edited_level")))
-    for name in ("a", "e"):
-        both = both.withColumn(f"s_{name}", sketch(F.col(name), WIDTHS[0]))
-    both = both.withColumn("s_a_next", F.when(F.col("next_level") == F.col("level"), F.col("s_a")).otherwise(sketch(F.col("a_next"), WIDTHS[0])))
-    both = both.withColumn("s_e_same", F.when(F.col("edited_level") == F.col("level"), F.col("s_e")).otherwise(sketch(F.col("e_same"), WIDTHS[0])))
-    both = both.withColumn("s_next", sketch(F.col("next_digests"), WIDTHS[0]))
-    return both.select(
-        F.when(F.col("k") != none, F.col("k")).alias(id_column), F.col("n").alias("n_chars"), "edited",
-        as_text(F.col("level"), F.col("a"), F.col("s_a")).alias("fingerprint"), as_text(F.col("edited_level"), F.col("e"), F.col("s_e")).alias("edited_fingerprint"),
-        likeness(F.col("a"), F.col("e_same"), F.col("s_a"), F.col("s_e_same")).alias("near_edited"),
-        likeness(F.col("a_next"), F.col("next_digests"), F.col("s_a_next"), F.col("s_next")).alias("near_next"),
-    )
+    both = cells_of(digests_of(both, own="t", edited="edited"), "own", "edited", "next")
+    both = nearness(both, near_edited=("own", "edited"), near_next=("own", "next"))
+    return both.select(F.when(F.col("k") != none, F.col("k")).alias(id_column), F.col("n").alias("n_chars"), "edited", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
