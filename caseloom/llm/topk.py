@@ -6,9 +6,11 @@ step a query keeps only the candidates whose partial score plus the largest prod
 remaining dimensions allow (the product of the remaining norms) still reaches its k-th best
 score so far. What survives all dimensions has its exact score.
 
-Query blocks hold about ``query_block`` vectors. A single query block is broadcast (it has
-at most that number); more are joined on (query block, salt), so that no task
-gets all candidates of a query block, and nothing that grows with the data is broadcast.
+Queries go out in rounds of at most ``query_bytes``: a round is a broadcast of that bound,
+which every task of the candidates' scan searches, block by block, beginning each block with
+the k-th best scores of those before. So no row is copied, whatever the number of queries,
+and nothing is joined. Beyond one round the candidates' blocks are written once and scanned
+by each round.
 """
 
 from __future__ import annotations
@@ -26,49 +28,38 @@ _STEP = 8
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def _packed(size: int | None):
-    """mapInArrow function: rows (id, values) to blocks (block, n, dims, ids, values), values one dimension after the other.
-
-    Without a size the rows have a third column, by which they are sorted: each of its values is a block.
-    """
+def _packed(size: int):
+    """mapInArrow function: rows (id, values) to blocks of ``size`` (n, dims, ids, values), values one dimension after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, made = TaskContext.get().partitionId(), 0
-        ids, rows, at = [], [], None
+        ids, rows = [], []
 
         def block() -> pa.RecordBatch:
-            nonlocal made
             dims = max((len(r) for r in rows), default=0)
             values = np.zeros((len(rows), dims))
             for i, r in enumerate(rows):
                 values[i, : len(r)] = r
-            key = (part << 32) + made if at is None else at
-            made += 1
             out = pa.RecordBatch.from_arrays(
-                [pa.array([key]), pa.array([len(rows)]), pa.array([dims]), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values.T, dtype="<f8").tobytes()], pa.binary())],
-                names=["block", "n", "dims", "ids", "vals"],
+                [pa.array([len(rows)]), pa.array([dims]), pa.array([np.array(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([np.ascontiguousarray(values.T, dtype="<f8").tobytes()], pa.binary())],
+                names=["n", "dims", "ids", "vals"],
             )
             ids.clear()
             rows.clear()
             return out
 
         for b in batches:
-            keys = b.column(2).to_pylist() if size is None else [None] * len(b)
-            for i, v, key in zip(b.column(0).to_pylist(), b.column(1), keys, strict=True):
-                if ids and (len(ids) == size or key != at):
-                    yield block()
-                at = key
+            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids.append(i)
                 rows.append(v.values.to_numpy(zero_copy_only=False))
+                if len(ids) == size:
+                    yield block()
         if ids:
             yield block()
 
     return run
 
 
-_BLOCK = "block long, n long, dims long, ids binary, vals binary"
+_BLOCK = "n long, dims long, ids binary, vals binary"
 
 
 def _unpacked(n: int, dims: int, ids: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -127,28 +118,24 @@ def _exact_search(q_ids, q, c_ids, c, k, found) -> None:
         found[i] = (np.array([int(r[0]) for r in rows[:k]], dtype=object), np.array([int(r[1]) for r in rows[:k]], dtype=np.int64))
 
 
-def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
-
-        def out() -> pa.RecordBatch:
-            q_ids, found = state[0], state[2]
-            rows = [(int(q), int(i), int(s)) for q, (scores, ids) in zip(q_ids, found, strict=True) for s, i in zip(scores, ids, strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
+def _search(k: int, asked):
+    """mapInArrow function: blocks of candidates to each query's k best among a task's; asked: broadcast blocks of queries."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [_unpacked(*row) for row in asked.value]
+        found = [[(np.zeros(0), np.zeros(0, np.int64)) for _ in ids] for ids, _ in queries]
+        high = [float(np.abs(q).max(initial=0)) for _, q in queries]
         for b in batches:
             for r in b.to_pylist():
-                if r["q_block"] != at:
-                    if state:
-                        yield out()
-                    at, (q_ids, q) = r["q_block"], _unpacked(r["q_n"], r["q_dims"], r["q_ids"], r["q_vals"])
-                    state = [q_ids, q, [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids], float(np.abs(q).max(initial=0))]
                 c_ids, c = _unpacked(r["n"], r["dims"], r["ids"], r["vals"])
-                small = state[3] * float(np.abs(c).max(initial=0)) * max(r["dims"], r["q_dims"]) < 2**52
-                (bound_search if small and all(f[0].dtype != object for f in state[2]) else _exact_search)(state[0], state[1], c_ids, c, k, state[2])
-        if state:
-            yield out()
+                most = float(np.abs(c).max(initial=0))
+                for (q_ids, q), best, top in zip(queries, found, high, strict=True):
+                    small = top * most * max(len(q), len(c)) < 2**52
+                    (bound_search if small and all(f[0].dtype != object for f in best) else _exact_search)(q_ids, q, c_ids, c, k, best)
+        for (q_ids, _), best in zip(queries, found, strict=True):
+            rows = [(int(q), int(i), int(s)) for q, (scores, ids) in zip(q_ids, best, strict=True) for s, i in zip(scores, ids, strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -162,34 +149,42 @@ def quantised(vectors: Column, scale: float) -> Column:
 
 def top_k(
     candidates: DataFrame, queries: DataFrame, k: int = 10, *, id_column: str = "vec_id", vector_column: str = "embedding",
-    scale: float = 1024.0, block: int = 4096, query_block: int = 2048, salts: int = 64,
+    scale: float = 1024.0, block: int = 4096, query_block: int = 2048, query_bytes: int = 1 << 25,
 ) -> DataFrame:
     """The k best candidates of each query: query_id, rank (from 1), vec_id, score (long).
 
     Components become floor(scale * x). A query is never its own candidate (rows with its
     id). Vectors that are null, or hold null or non-finite components, and rows with a null
     id take no part; a shorter vector counts as padded with zeros. Ties go to the smaller
-    id. Repeated candidate rows are each listed; repeated query ids count once. Fewer
-    candidates than k are all listed; without candidates or queries there are no rows.
-    Other columns are not read.
+    id. Repeated candidate rows are each listed. Several query rows of one id are one query:
+    its list is the best of all their scores, where a candidate may stand once for each.
+    Fewer candidates than k are all listed; without candidates or queries there are no rows.
+    A score beyond the range of a long is its nearest end, so such scores tie. Other columns
+    are not read.
     """
 
     def usable(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_column).cast("long").alias("id"), quantised(F.col(vector_column), scale).alias("v")).where("id is not null and v is not null")
 
-    asked = usable(queries).dropDuplicates(["id"])
-    blocks = max(1, -(-asked.count() // query_block))
-    asked = asked.withColumn("key", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    q = asked.repartition(blocks, "key").sortWithinPartitions("key").mapInArrow(_packed(None), _BLOCK)
-    q = q.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "n", "dims", "ids", "vals")])
+    spark = candidates.sparkSession
+    asked = usable(queries)
+    count, dims = asked.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    per_round = max(1, query_bytes // (8 * max(1, dims)))
+    rounds = max(1, -(-count // per_round))
     c = usable(candidates).mapInArrow(_packed(block), _BLOCK)
-    if blocks == 1:
-        joined = c.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
-    else:
-        c = c.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts))).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        joined = c.join(q, ["q_block", "salt"]).sortWithinPartitions("q_block")
-    best = joined.select("n", "dims", "ids", "vals", "q_block", "q_n", "q_dims", "q_ids", "q_vals").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    if rounds > 1:
+        asked = common.kept(asked.withColumn("round", F.pmod(F.xxhash64("id", "v"), F.lit(rounds))), "queries")
+        c = common.kept(c, "candidates")
+    best = None
+    for i in range(rounds):
+        part = asked.where(F.col("round") == i).drop("round") if rounds > 1 else asked
+        rows = part.coalesce(1 if rounds == 1 else 8).mapInArrow(_packed(min(query_block, per_round)), _BLOCK).collect()  # query_bytes, about
+        sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
+        found = c.mapInArrow(_search(k, sent), "query_id long, vec_id long, score long")
+        if rounds > 1:
+            found = common.kept(found, "found")
+            sent.destroy()
+        best = found if best is None else best.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

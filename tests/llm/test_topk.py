@@ -13,8 +13,8 @@ def test_search_equals_brute_force(spark):
     import numpy as np
 
     ok = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    for block, size in ((4096, 2048), (16, 1)):  # broadcast, and joined on salts
-        got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=block, query_block=size, salts=3).collect()
+    for block, size, room in ((4096, 2048, 1 << 25), (16, 1, 320)):  # one round, and several
+        got = topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block=block, query_block=size, query_bytes=room).collect()
         for q in (0, 100, 200, 800):
             want = sorted(((-sum(a * b for a, b in zip(ok[q], v, strict=True)), i) for i, v in ok.items() if i != q))[:10]
             assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == want
