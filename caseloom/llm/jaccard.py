@@ -423,7 +423,7 @@ def _component_labels(docs: DataFrame, id_column: str, text_column: str, rows: D
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 80, text_hash: str | None = None) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row, and if it is given a name the text's xxhash64.
+    """doc_id, n_shingles and component_id of every row; with a name for it also the text's hash (xxhash64) and that of the component's first text, component_<name>.
 
     Two texts link when 100 * |A & B| >= percent * |A | B| for their sets of distinct n-word
     shingles (A-Z lower-cased; the whole sequence as one where there are fewer words). The
@@ -439,15 +439,15 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     classes = common.kept(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     label = _component_labels(docs, id_column, text_column, rows, classes, n, percent)
     if label is None:
-        named = classes.select(*key, F.col("pick.id").alias("component"))
+        named = classes.select(*key, F.col("pick").alias("least"))
     else:
         named = classes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = named.groupBy("label").agg(F.min("pick.id").alias("component"))
-        named = named.join(least, "label").select(*key, "component")
+        least = named.groupBy("label").agg(F.min("pick").alias("least"))
+        named = named.join(least, "label").select(*key, "least")
     out = rows.join(named, key, "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    hashes = [F.col("h").alias(text_hash)] if text_hash else []
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), *hashes)
+    of = lambda own, name: F.when(F.col("n") == 0, F.col(own)).otherwise(F.col(f"least.{name}"))
+    hashes = [F.col("h").alias(text_hash), of("h", "h").alias(f"component_{text_hash}")] if text_hash else []
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), of("id", "id").alias("component_id"), *hashes)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
