@@ -7,12 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RETRIEVAL_MARKER = r"(?is)\[\s*lookup\s*:[^\]]*\]"
-INTERNAL_MARKERS = r"(?is)\[\s*(?:lookup|note|state)\s*:[^\]]*\]"
-UNINFORMATIVE = r"(?i)^\s*$|\b(?:i don'?t know|not sure|no idea|can'?t say|unsure|no information)\b"
-EVASIVE = ("don't know", "not sure", "can't remember", "no idea", "unsure")
-SUBSTANTIVE = ("but", "however", "although", "though")
-LAB_HINTS = ("mg/dl", "mmol", "x-ray", "ct scan", "mri", "ultrasound", "biopsy", "culture", "hemoglobin", "creatinine")
+# Fixed values of the log format: they must be these for right results.
+RETRIEVAL_QUERY = r"(?i)\[RETRIEVAL QUERY:\s*(.+?)\]"
+RETRIEVAL_MARKER = r"(?i)\[RETRIEVAL QUERY:[^\]]*\]\s*"
+RETRIEVAL_RESULT = ("[RETRIEVAL RESULT]\n", "\n\n", "\n[/RETRIEVAL RESULT]")
+DIAGNOSIS_MARKER = "[DIAGNOSIS]"
+FACT_QUESTION = "Can you tell me whether this applies to you: {}?"
+#: Replies that say nothing.
+UNINFORMATIVE = (
+    r"\bi\s+don'?t\s+know\b", r"\bi\s+do\s+not\s+know\b", r"\bnot\s+(?:totally\s+)?sure\b", r"\bcan'?t\s+remember\b", r"\bcannot\s+remember\b", r"\bno\s+idea\b",
+    r"\bwhy\s+does\s+that\s+matter\b", r"\bwhy\s+do\s+you\s+need\b", r"\bwhy\s+do\s+you\s+want\b", r"\bi\s+haven'?t\s+noticed\b", r"\bi\s+have\s+not\s+noticed\b",
+)
+#: Evidence that is no evidence, unless one of the substantive words and six words or more are there.
+EVASIVE = (
+    "not sure", "don't know", "do not know", "i'm not sure", "no idea", "can't say", "cannot say", "unsure", "unclear", "no answer", "don't think", "do not think", "don't think so",
+    "haven't noticed", "have not noticed", "not certain", "i'm not certain", "why does that matter", "why are you asking", "why is that important",
+)
+LAB_FACTS = (
+    "culture", "maltose", "capsule", "ferment", "lab ", "laboratory", "imaging", "x-ray", "xray", " mri", " ct ", "gram stain", "gram-negative", "gram positive", "fluid shows",
+    "test result", "blood work", "wbc", "cbc",
+)
+LAB_EVIDENCE = (
+    "culture", "lab", "test", "result", "positive", "negative", "bacteria", "ferment", "maltose", "capsule", "gram", "fluid", "scan", "imaging", "x-ray", "xray", "mri", "ct ",
+    "specimen", "grown", "showed",
+)
+SUBSTANTIVE = (*LAB_EVIDENCE, "fever", "pain", "swollen", "urination", " pee", "knee", "joint", "antibiotic", "medication", "started", "inflamm")
 ORDERS = r"(?i)^\s*(?:order|obtain|schedule|refer|prescribe|consult)\b"
 STOPWORDS = ("the", "and", "for", "with", "has", "was", "are", "had", "his", "her", "that", "this", "from", "who")
 
@@ -50,35 +69,41 @@ def content_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stopwords))
 
 
-def strip_markers(text: Column) -> Column:
+def strip_markers(text: Column, marker: str = RETRIEVAL_MARKER) -> Column:
     """[FN-14] Internal markers off."""
-    return F.trim(F.regexp_replace(text, INTERNAL_MARKERS, ""))
+    return F.trim(F.regexp_replace(text, marker, ""))
 
 
-def retrieval_query(text: Column) -> Column:
-    """[FN-13] What a retrieval marker asks for; null without one."""
-    found = F.trim(F.regexp_extract(text, r"(?is)\[\s*lookup\s*:([^\]]*)\]", 1))
-    return F.when(found != "", found)
+def retrieval_query(text: Column, marker: str = RETRIEVAL_QUERY) -> Column:
+    """[FN-13] What the first retrieval marker asks for; null without one."""
+    return F.when(text.rlike(marker), F.trim(F.regexp_extract(text, marker, 1)))
 
 
-def passages_block(passages: Column) -> Column:
+def passages_block(passages: Column, marks: tuple[str, str, str] = RETRIEVAL_RESULT) -> Column:
     """[FN-15] Passages between delimiters."""
-    return F.concat(F.lit("<passages>\n"), F.array_join(passages, "\n---\n"), F.lit("\n</passages>"))
+    before, between, after = marks
+    return F.concat(F.lit(before), F.array_join(passages, between), F.lit(after))
 
 
-def is_uninformative(text: Column, pattern: str = UNINFORMATIVE) -> Column:
+def is_uninformative(text: Column, patterns: Sequence[str] = UNINFORMATIVE) -> Column:
     """[FLT-8] A blank reply or one of the stock phrases."""
-    return F.coalesce(text, F.lit("")).rlike(pattern)
+    said = F.trim(F.coalesce(text, F.lit("")))
+    return (said == "") | said.rlike("(?i)" + "|".join(patterns))
 
 
 def is_evasive(evidence: Column, phrases: Sequence[str] = EVASIVE, markers: Sequence[str] = SUBSTANTIVE) -> Column:
-    """[FLT-9] An evasive phrase, unless a turning word comes with six words or more."""
-    words = F.size(F.filter(F.split(F.trim(evidence), r"\s+"), lambda w: w != ""))
+    """[FLT-9] An evasive phrase, unless a substantive word comes with six words or more."""
+    words = F.size(F.regexp_extract_all(evidence, F.lit(r"(?U)\w+"), F.lit(0)))
     return contains_any(evidence, phrases) & ~(contains_any(evidence, markers) & (words >= 6))
 
 
-def is_lab(text: Column, hints: Sequence[str] = LAB_HINTS) -> Column:
-    """[FLT-11, FLT-12] A laboratory or imaging hint."""
+def is_lab(text: Column, hints: Sequence[str] = LAB_FACTS) -> Column:
+    """[FLT-11] A fact of the laboratory or of imaging."""
+    return contains_any(text, hints)
+
+
+def is_lab_evidence(text: Column, hints: Sequence[str] = LAB_EVIDENCE) -> Column:
+    """[FLT-12] Evidence that can stand for such a fact."""
     return contains_any(text, hints)
 
 
@@ -88,11 +113,12 @@ def scorable_facts(facts: Column, orders: str = ORDERS) -> Column:
 
 
 def quoted_from(evidence: Column, conversation: Column, share: float = 0.8) -> Column:
-    """[FLT-10] The evidence stands in the conversation, or enough of its words longer than two do."""
-    e, c = normalize_fact(evidence), normalize_fact(conversation)
-    words = F.filter(F.split(e, " "), lambda w: F.length(w) > 2)
+    """[FLT-10] The evidence stands in what was said, or enough of its words longer than two do; false if nothing was said."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
+    e, c = plain(evidence), plain(conversation)
+    words = F.filter(F.regexp_extract_all(e, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) > 2)
     hits = F.size(F.filter(words, lambda w: F.contains(c, w)))
-    return F.contains(c, e) | ((F.size(words) > 0) & (hits >= F.lit(share) * F.size(words)))
+    return (c != "") & (F.contains(c, e) | ((F.size(words) > 0) & (hits >= F.lit(share) * F.size(words))))
 
 
 def red_flag_missed(conversation: Column, flags: Column) -> Column:
@@ -151,13 +177,14 @@ def parse_age(age: Column) -> Column:
 
 
 def first_sentence(text: Column, most: int = 400) -> Column:
-    """[PRJ-13] Up to the first full stop, at most so many characters."""
-    return F.substring(F.trim(F.split(text, r"\.")[0]), 1, most)
+    """[PRJ-13] The first sentence of the first line that isn't blank: up to a stop followed by white space; at most so many characters."""
+    line = F.get(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\R"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0))
+    return F.substring(F.coalesce(F.split(line, r"(?<=[.!?])\s+")[0], F.lit("")), 1, most)
 
 
 def voice_band(age: Column) -> Column:
     """[PRJ-29] Whose voice speaks at an age."""
-    return F.when(age.isNull(), "adult").when(age < 12, "parent").when(age < 18, "teen").when(age >= 65, "elder").otherwise("adult")
+    return F.when(age < 13, "child_parent").when(age <= 17, "teen").when(age >= 65, "older_adult").otherwise("adult")
 
 
 def parent_age(child_age: Column) -> Column:
@@ -168,12 +195,12 @@ def parent_age(child_age: Column) -> Column:
 def child_word(sex: Column) -> Column:
     """[PRJ-41]"""
     low = F.lower(F.coalesce(sex, F.lit("")))
-    return F.when(low.startswith("f"), "daughter").when(low.startswith("m"), "son").otherwise("child")
+    return F.when(low == "female", "daughter").when(low == "male", "son").otherwise("child")
 
 
 def demographic_persona(age: Column) -> Column:
-    """[PRJ-27] Under 18 or from 70 on."""
-    return F.when(age < 18, "minor").when(age >= 70, "senior").otherwise("default")
+    """[PRJ-27] Under 18 or from 70 on the persona of low literacy, else the default."""
+    return F.when((age < 18) | (age >= 70), "low_literacy").otherwise("default")
 
 
 def first_jargon(text: Column, level: Column, terms: dict[str, Sequence[str]]) -> Column:
@@ -241,7 +268,7 @@ def facts_block(facts: Column) -> Column:
 
 def decompose(text: Column, most: int = 12) -> Column:
     """[FN-34, MSC-38] Sentences at full stops, blanks dropped, at most so many."""
-    return F.slice(F.filter(F.transform(F.split(text, r"\."), F.trim), lambda s: s != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.split(text, r"\."), lambda x: F.trim(x)), lambda s: s != ""), 1, most)
 
 
 def select_by_numbers(reply: Column, facts: Column) -> Column:
@@ -250,9 +277,11 @@ def select_by_numbers(reply: Column, facts: Column) -> Column:
     return F.transform(F.filter(numbers, lambda i: i.between(1, F.size(facts))), lambda i: F.get(facts, i - 1))
 
 
-def fact_questions(facts: Column) -> Column:
-    """[FN-3] A question for each fact."""
-    return F.transform(facts, lambda f: F.concat(F.lit("Could you tell me more about "), F.rtrim(F.lower(f), F.lit(". ")), F.lit("?")))
+def fact_questions(facts: Column, form: str = FACT_QUESTION) -> Column:
+    """[FN-3] A question for each fact that isn't blank, without its number; a fact that is a question stays."""
+    before, after = form.split("{}")
+    bare = F.transform(F.filter(F.transform(facts, lambda x: F.trim(x)), lambda f: f != ""), lambda f: F.regexp_replace(f, r"^\d+\.\s*", ""))
+    return F.transform(bare, lambda f: F.when(f.endswith("?"), f).otherwise(F.concat(F.lit(before), f, F.lit(after))))
 
 
 def safe_opening(age: Column, sex: Column, complaint: Column) -> Column:

@@ -16,7 +16,7 @@ def paired_history(messages: DataFrame, conv: str, turn: str, role: str, content
     return nxt.where((F.col(role) == asker) & (F.col("next_role") == answerer)).select(conv, turn, F.col(content).alias("question"), "answer")
 
 
-def asked_before(messages: DataFrame, conv: str, turn: str, role: str, content: str, asker: str = "doctor", conclusion: str = "FINAL DIAGNOSIS") -> DataFrame:
+def asked_before(messages: DataFrame, conv: str, turn: str, role: str, content: str, asker: str = "doctor", conclusion: str = fx.DIAGNOSIS_MARKER) -> DataFrame:
     """[WIN-2, WIN-3, FN-2] Questions with their normal form and how often it was asked before; blank forms count 0."""
     q = messages.where((F.col(role) == asker) & F.contains(F.col(content), F.lit("?")) & ~F.contains(F.upper(content), F.lit(conclusion)))
     q = q.withColumn("norm", fx.normalize_question(F.col(content)))

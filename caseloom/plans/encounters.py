@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from caseloom.operators import joins, metrics
 from caseloom.sources import schemas
 
-#: Categories of the state features, and the names that loaders use for them.
-FEATURE_CATEGORIES = ("Cardio", "Neuro", "Endo", "MSK", "Psych", "Derm", "Other")
-FEATURE_MAP = {"Cardio": "Cardio", "Cardiology": "Cardio", "Neuro": "Neuro", "Neurology": "Neuro", "Endo": "Endo", "MSK": "MSK", "Psych": "Psych", "Derm": "Derm", "Other": "Other"}
-LITERACY = ("functional", "interactive", "critical")
-REGISTERS = {"plain": "functional", "basic": "functional", "everyday": "interactive", "intermediate": "interactive", "clinical": "critical", "advanced": "critical", "f": "functional", "i": "interactive", "c": "critical", "functional": "functional", "interactive": "interactive", "critical": "critical"}
+# Fixed values of the log format: they must be these for right results.
+#: Categories of the state features, and the names that logs use for them; others are Other.
+FEATURE_CATEGORIES = ("Cardiology", "Pulmonology", "Gastroenterology", "Neurology", "Infectious_Disease", "Endocrinology", "Other")
+FEATURE_MAP = {
+    "Cardiology": "Cardiology", "Pulmonology": "Pulmonology", "Gastroenterology": "Gastroenterology", "Neurology": "Neurology", "Neuro": "Neurology", "Infectious_Disease": "Infectious_Disease",
+    "Infectious Disease": "Infectious_Disease", "Endocrinology": "Endocrinology", "Pediatrics": "Other", "Psychiatry": "Other", "Other": "Other",
+}
+LITERACY = ("literacy_F", "literacy_I", "literacy_C")
+REGISTERS = {
+    "functional": "literacy_F", "interactive": "literacy_I", "critical": "literacy_C", "f": "literacy_F", "i": "literacy_I", "c": "literacy_C",
+    "basic": "literacy_F", "intermediate": "literacy_I", "advanced": "literacy_C",
+}
+PRESETS = {"literacy_F": "literacy_F", "literacy_I": "literacy_I", "literacy_C": "literacy_C", "low_literacy": "literacy_F", "default": "literacy_I"}
+AXES = ("vocabulary_register", "jargon_comprehension", "language_level")
+PERSONA_DEFAULTS = {"persona_id": "default", "vocabulary_register": "interactive", "jargon_comprehension": "interactive", "personality": "neutral", "recall": "high", "emotional_state": "calm"}
 REQUIRED = ("encounter_id", "case_id", "case_category", "stage1_arm", "stage2_arm", "R1", "R2", "outcome", "trajectory")
 
 
@@ -25,9 +35,20 @@ def register_to_literacy(value: Column) -> Column:
 
 
 def literacy_of(*blocks: Column) -> Column:
-    """[PRJ-2, PRJ-3] From persona maps: register, preset id, legacy language level, jargon; the first block that tells counts."""
-    keys = ("vocabulary_register", "persona_id", "literacy", "language_level", "jargon_comprehension")
-    return F.coalesce(*[register_to_literacy(F.try_element_at(b, F.lit(k))) for b in blocks for k in keys], F.lit("interactive"))
+    """[PRJ-2, PRJ-3] From persona maps, the first that tells: the preset's id, a register, or a register under axes (JSON text); null if none does."""
+    presets = F.create_map(*[F.lit(x) for kv in PRESETS.items() for x in kv])
+
+    def one(block: Column) -> Column:
+        at = lambda k: F.try_element_at(block, F.lit(k))
+        named = F.coalesce(F.try_element_at(presets, at("persona_id")), F.when(at("persona_id").startswith("literacy_"), at("persona_id")))
+        return F.coalesce(named, *[register_to_literacy(at(k)) for k in AXES], *[register_to_literacy(F.get_json_object(at("axes"), f"$.{k}")) for k in AXES])
+
+    return F.coalesce(*map(one, blocks))
+
+
+def persona_of(block: Column) -> Column:
+    """[MSC-36] A persona map with every field, defaults where one is missing."""
+    return F.struct(*[F.coalesce(F.try_element_at(block, F.lit(k)), F.lit(v)).alias(k) for k, v in PERSONA_DEFAULTS.items()])
 
 
 def valid(raw: Column | None = None) -> Column:
@@ -49,7 +70,7 @@ def flatten(enc: DataFrame, raw: str | None = None) -> DataFrame:
         F.coalesce("R1.total", F.lit(0)).alias("R1_total"), F.coalesce("R1.responder", F.lit(False)).alias("R1_responder"),
         *[F.coalesce(F.col(f"R1.{a}"), F.lit(0)).alias(f"R1_{b}") for a, b in (("OPQRST", "OPQRST"), ("red_flags", "red_flags"), ("past_medical_history", "pmh"), ("medications_allergies", "meds"), ("social_family_history", "social"))],
         F.coalesce("R2.final_confidence", F.lit(0.5)).alias("R2_final_conf"), F.coalesce("R2.avg_confidence", F.lit(0.5)).alias("R2_avg_conf"), F.coalesce("R2.confidence_level", F.lit("low")).alias("R2_level"),
-        turns(1).alias("stage1_turns"), turns(2).alias("stage2_turns"), literacy_of(F.col("persona")).alias("literacy_id"),
+        turns(1).alias("stage1_turns"), turns(2).alias("stage2_turns"), literacy_of(F.col("literacy_persona"), F.col("persona")).alias("literacy_id"),
         F.col("outcome.diag_correct").cast("int").alias("Y"), F.col("outcome.red_flag_miss").alias("outcome_red_flag_miss"), F.col("outcome.dangerous_advice").alias("outcome_dangerous"),
     )
 
@@ -61,14 +82,16 @@ def one_hot(value: Column, levels: Sequence[str], prefix: str) -> list[Column]:
 
 def state1() -> list[Column]:
     """[PRJ-8, MSC-13, MSC-22] Category, literacy and complaint length: 11 columns."""
-    category = metrics.map_category(F.col("case_category"), FEATURE_MAP)
-    return [*one_hot(category, FEATURE_CATEGORIES, "cat"), *one_hot(F.col("literacy_id"), LITERACY, "lit"), F.length(F.coalesce("chief_complaint", F.lit(""))).alias("complaint_len")]
+    category = metrics.map_category(F.trim(F.coalesce("case_category", F.lit("Other"))), FEATURE_MAP)
+    literacy = [F.coalesce((F.col("literacy_id") == v).cast("int"), F.lit(0)).alias(v) for v in LITERACY]
+    return [*one_hot(category, FEATURE_CATEGORIES, "cat"), *literacy, F.length(F.coalesce("chief_complaint", F.lit(""))).alias("chief_complaint_len")]
 
 
 def state2(arm: str | None = None) -> list[Column]:
-    """[PRJ-9, MSC-23] state1, what stage 1 left, and the stage-1 arm (or a counterfactual one): 22 columns."""
-    seen = ["R1_total", "R1_OPQRST", "R1_red_flags", "R1_pmh", "R1_meds", "R1_social"]
-    return [*state1(), *[F.col(c) for c in seen], F.col("R1_responder").cast("int").alias("R1_responder_i"), F.col("stage1_turns"), *one_hot(F.lit(arm) if arm else F.col("A1"), schemas.A1_ARMS, "a1")]
+    """[PRJ-9, MSC-23] state1, what stage 1 left, and the stage-1 arm (or a counterfactual one): 22 columns, missing counts as 0."""
+    seen = ("R1_total", "R1_responder", "R1_red_flags", "R1_OPQRST", "R1_pmh", "R1_meds", "R1_social", "stage1_turns")
+    arms = [F.coalesce(((F.lit(arm) if arm else F.col("A1")) == a).cast("int"), F.lit(0)).alias(f"A1_{a[-1]}") for a in schemas.A1_ARMS]
+    return [*state1(), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in seen], *arms]
 
 
 def design(state: Sequence[Column], arm: Column, arms: Sequence[str], reference: str) -> Column:
@@ -168,14 +191,15 @@ def scoring_case(results: DataFrame) -> DataFrame:
 
 
 def coverage_delta(delta: DataFrame, facts: Column, seen: Column, conversation: Column) -> DataFrame:
-    """[FLT-13, WIN-7] Accepted rows of a judge's delta (conv_id, pos, index, evidence): new, in range, quoted, not evasive, fit for laboratory facts; first per index."""
+    """[FLT-13, WIN-7] Accepted rows of a judge's delta (conv_id, pos, index, evidence): new, in range, quoted (if there is a conversation), not evasive, fit for laboratory facts; first per index."""
     from caseloom.functions import text as fx
     from caseloom.operators.windows import first_evidence
 
     index = F.col("index").cast("string").try_cast("int")
     df = delta.withColumn("i", index).where(F.col("i").between(1, F.size(facts)) & ~F.array_contains(seen, F.col("i")))
-    e = F.coalesce("evidence", F.lit(""))
-    df = df.where((F.length(F.trim(e)) >= 6) & ~fx.is_evasive(e) & fx.quoted_from(e, conversation) & (~fx.is_lab(F.get(facts, F.col("i") - 1)) | fx.is_lab(e)))
+    e = F.trim(F.coalesce("evidence", F.lit("")))
+    quoted = conversation.isNull() | fx.quoted_from(e, conversation)
+    df = df.where((F.length(e) >= 6) & ~fx.is_evasive(e) & quoted & (~fx.is_lab(F.get(facts, F.col("i") - 1)) | fx.is_lab_evidence(e)))
     return first_evidence(df, ["conv_id", "i"], ["pos"])
 
 

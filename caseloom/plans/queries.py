@@ -181,10 +181,10 @@ _NORM = r"rtrim(lower(ltrim(regexp_replace(regexp_replace({c}, '(?is)\[\s*lookup
 
 
 @query(f"""SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id, norm ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (
-  SELECT conv_id, turn, {_NORM.format(c="substr(text, 1, 4)")} AS norm FROM conversations WHERE role = 'user')""")
+  SELECT conv_id, turn, {_NORM.format(c="text")} AS norm FROM conversations WHERE role = 'user')""")
 def repeat_cap(spark: SparkSession, d: str) -> DataFrame:
-    """WIN-2, WIN-3: a question is a user turn's beginning, so that some repeat."""
-    m = t(spark, d, "conversations").withColumn("text", F.concat(F.substring("text", 1, 4), F.lit("?")))
+    """WIN-2, WIN-3, FN-2: user turns, whole, as questions."""
+    m = t(spark, d, "conversations").withColumn("text", F.concat("text", F.lit("?")))
     return windows.asked_before(m, "conv_id", "turn", "role", "text", "user").select("conv_id", "turn", F.col("prior").cast("long").alias("prior"))
 
 
@@ -399,7 +399,7 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
 def reply_parsing(spark: SparkSession, d: str) -> DataFrame:
     """FN-9, FN-26, FN-28."""
     c = F.col("text")
-    return t(spark, d, "conversations").select("conv_id", "turn", replies.yes_no(c).alias("yes_no"), replies.grade(c).alias("grade"), replies.verdict(c).alias("verdict"))
+    return t(spark, d, "conversations").select("conv_id", "turn", replies.yes_no(c, None).alias("yes_no"), replies.grade(c).alias("grade"), replies.verdict(c).alias("verdict"))
 
 
 @query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")

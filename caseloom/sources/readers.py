@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as fx
 from caseloom.sources import schemas
+from caseloom.sources.shared import durable
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str, *, strict: bool = True) -> DataFrame:
@@ -114,14 +115,19 @@ def read_passages(spark: SparkSession, path: str, content: str = "content") -> D
     return numbered(df, "seq").select(F.col("n").alias("doc_id"), F.col(content).alias("text"))
 
 
-def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """[WIN-9] n = 0, 1, ... in a global order, without one task that sorts all: ranges, their sizes, then places."""
-    part = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
-    part = part.withColumn("in_part_", F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1)
-    sizes = part.groupBy("part_").agg(F.count("*").alias("size_"))
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """[WIN-9] A column of 0, 1, ... in a global order, without one task that sorts all; ties in any order, but the same for all who read the result.
+
+    Rows are sorted in ranges, which are checkpointed, as ranges drawn twice would differ;
+    a place is the rows of the ranges before (one number a range) and the place in the range.
+    """
+    ranges = durable(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("place_", F.monotonically_increasing_id())
+    part = F.shiftright("place_", 33)
+    sizes = ranges.groupBy(part.alias("part_")).agg(F.count("*").alias("size_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sizes = sizes.select("part_", F.coalesce(F.sum("size_").over(before), F.lit(0)).alias("before_"))
-    return part.join(F.broadcast(sizes), "part_").withColumn("n", F.col("before_") + F.col("in_part_")).drop("part_", "in_part_", "before_")
+    placed = ranges.withColumn("part_", part).join(F.broadcast(sizes), "part_")
+    return placed.withColumn(name, F.col("before_") + F.col("place_").bitwiseAND((1 << 33) - 1)).drop("part_", "place_", "before_")
 
 
 def load_cases(spark: SparkSession, config: dict) -> DataFrame:

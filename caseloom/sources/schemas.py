@@ -11,7 +11,7 @@ TURN = "struct<turn: int, stage: int, arm: string, doctor: string, patient: stri
 MESSAGE = "struct<role: string, content: string>"
 ENCOUNTER = (
     "encounter_id string, case_id string, case_category string, chief_complaint string, ground_truth string, run_mode string, path_id string, "
-    "forced_a1 string, forced_a2 string, seed long, total_turns long, persona map<string,string>, stage1_arm string, stage2_arm string, stage2_pool string, "
+    "forced_a1 string, forced_a2 string, seed long, total_turns long, persona map<string,string>, literacy_persona map<string,string>, stage1_arm string, stage2_arm string, stage2_pool string, "
     "R1 struct<OPQRST: int, red_flags: int, past_medical_history: int, medications_allergies: int, social_family_history: int, total: int, responder: boolean, "
     "coverage_rate: double, coverage_count: int, total_facts: int>, "
     "R2 struct<final_confidence: double, avg_confidence: double, confidence_level: string, r2_source: string, R2_category: string, confidence_scores: array<double>>, "
@@ -24,6 +24,7 @@ RESULT = (
     "info struct<initial_info: string, question: string, correct_answer: string, correct_answer_idx: string, options: map<string,string>, context: array<string>, facts: array<string>>"
 )
 METRIC = ("block", "run_mode", "path_id", "A1", "A2", "case_category", "n", "n_scored", "n_missing", "mean_correct", "error")
-CATEGORIES = ("Cardio", "Neuro", "GI", "Pulm", "Infectious", "Endo", "MSK", "Other")
+#: Fixed values of the log format.
+CATEGORIES = ("Cardiology", "Neuro", "GI", "Pulm", "Infectious", "Pediatrics", "Psychiatry", "Other")
 A1_ARMS = ("A1a", "A1b", "A1c")
 A2_ARMS = ("A2a", "A2b", "A2c")

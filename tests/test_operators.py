@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.operators import joins, metrics, ranking, retrieval, windows
@@ -43,7 +44,7 @@ def test_votes_tie_to_a_question(spark):
 
 
 def test_dialogue_windows(spark):
-    m = [(1, 0, "doctor", "hello"), (1, 1, "doctor", "Pain?"), (1, 2, "doctor", "Fever?"), (1, 3, "patient", "not sure"), (1, 4, "doctor", "FEVER ?"), (1, 5, "patient", "yes"), (1, 6, "doctor", "fever?"), (1, 7, "doctor", "FINAL DIAGNOSIS: flu?")]
+    m = [(1, 0, "doctor", "hello"), (1, 1, "doctor", "Pain?"), (1, 2, "doctor", "Fever?"), (1, 3, "patient", "not sure"), (1, 4, "doctor", "FEVER ?"), (1, 5, "patient", "yes"), (1, 6, "doctor", "fever?"), (1, 7, "doctor", "[Diagnosis] flu?")]
     df = spark.createDataFrame(m, "conv int, turn int, role string, content string")
     args = ("conv", "turn", "role", "content")
     assert [(r["turn"], r["answer"]) for r in windows.paired_history(df, *args).orderBy("turn").collect()] == [(2, "not sure"), (4, "yes")]
@@ -73,11 +74,12 @@ def test_fusion_prefers_both_lists(spark):
         retrieval.retriever("none")
 
 
-def test_lexical_unknown_terms_give_nothing(spark):
-    p = spark.createDataFrame([(1, "red fish"), (2, "blue fish"), (3, "green bird")], "doc_id int, text string")
-    q = spark.createDataFrame([(1, "red"), (2, "zzz")], "query_id int, query string")
-    got = retrieval.lexical(q, retrieval.build_index(p), 2).collect()
-    assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 1)]
+def test_lexical_fills_up_with_passages_that_score_nothing(spark):
+    p = spark.createDataFrame([(1, "blue fish"), (2, "red fish"), (3, "green bird"), (4, None), (5, "green  Bird")], "doc_id int, text string")
+    q = spark.createDataFrame([(1, "red"), (2, "zzz"), (3, "green red")], "query_id int, query string")
+    got = retrieval.lexical(q, retrieval.build_index(p), 4).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 2), (1, 1), (1, 3), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4), (3, 2), (3, 3), (3, 5), (3, 1)]
+    assert [r["score"] for r in got][4:8] == [0.0] * 4
 
 
 def test_rotation_and_numbering(spark):
@@ -87,6 +89,15 @@ def test_rotation_and_numbering(spark):
     assert readers.numbered(df, "k").where("n <> k").count() == 0
 
 
+def test_numbering_a_million_wide_rows(spark):
+    df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 8).alias("wide"))
+    got = readers.numbered(df, "k")
+    n, distinct, low, high = got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n")).first()
+    assert (n, distinct, low, high) == (1_000_000, 1_000_000, 0, 999_999)
+    w = got.select("n", "k", F.lag("k").over(Window.orderBy("n")).alias("before"))
+    assert w.where("before >= k").count() == 0
+
+
 def encounter(i, case, category, mode, a1=None, a2=None, correct=True, seq=0):
     return (f"e{i}", case, category, mode, f"{a1}_{a2}" if a1 else None, a1, a2, (correct,), seq)
 

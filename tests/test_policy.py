@@ -39,8 +39,20 @@ def test_intervals(spark):
 
 
 def test_literacy_fallbacks(spark):
-    df = spark.createDataFrame([({"vocabulary_register": "plain"},), ({"language_level": "advanced"},), ({},)], "p map<string,string>")
-    assert [r[0] for r in df.select(encounters.literacy_of(F.col("p"))).collect()] == ["functional", "critical", "interactive"]
+    blocks = [
+        {"vocabulary_register": "Functional "}, {"language_level": "advanced"}, {}, {"persona_id": "low_literacy", "vocabulary_register": "critical"}, {"persona_id": "literacy_X"},
+        {"persona_id": "random", "axes": '{"jargon_comprehension": "interactive"}'}, {"vocabulary_register": "plain"},
+    ]
+    df = spark.createDataFrame([(b,) for b in blocks], "p map<string,string>")
+    want = ["literacy_F", "literacy_C", None, "literacy_F", "literacy_X", "literacy_I", None]
+    assert [r[0] for r in df.select(encounters.literacy_of(F.col("p"))).collect()] == want
+    assert [r[0] for r in df.select(encounters.literacy_of(F.lit(None).cast("map<string,string>"), F.col("p"))).collect()] == want
+
+
+def test_state_levels(spark):
+    df = spark.createDataFrame([("Neuro",), (" Pulmonology",), ("Psychiatry",), (None,)], "case_category string").withColumn("literacy_id", F.lit(None).cast("string")).withColumn("chief_complaint", F.lit("ab"))
+    got = [r.asDict() for r in df.select(*encounters.state1()).collect()]
+    assert [[k for k, v in r.items() if v] for r in got] == [[f"cat_{c}", "chief_complaint_len"] for c in ("Neurology", "Pulmonology", "Other", "Other")]
 
 
 def test_statistics_of_frames_are_those_of_the_fits(spark):
