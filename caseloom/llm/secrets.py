@@ -25,27 +25,40 @@ KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 SCOPE = 256
 
 _SPAN = "struct<start: bigint, end: bigint, value: string>"
+#: Running sums go in pieces of so many, so that a text with very many matches takes little more than linear time.
+_PIECE = 128
 
 
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, end, value), in code points; value: the group.
 
-    Texts between matches and the matches themselves have lengths; their running sum gives
-    the places.
+    Texts between matches and the matches themselves have lengths; their running sums give
+    the places: of whole pieces of the list first, then of each match in its piece. No state
+    holds more than a number, as arrays in an aggregate's state are copied at every step.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.transform(found, F.length).alias("n"), values.alias("value"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("bigint"))
+    steps = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.transform(found, lambda x: F.length(x)).alias("n"), values.alias("value"))
     none = F.array().cast(f"array<{_SPAN}>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x["gap"] + x["n"])
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  as a variable a value is computed once
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + x["0"]
-        return F.struct((start + x["1"]).alias("at"), F.array_append(s["spans"], F.struct(start.alias("start"), (start + x["1"]).alias("end"), x["2"].alias("value"))).alias("spans"))
+    def place(piece: Column, at: Column) -> Column:
+        def span(x: Column, j: Column) -> Column:
+            start = at + total(F.slice(piece, F.lit(1), j)) + x["gap"]
+            return once(start, lambda s: F.struct(s.alias("start"), (s + x["n"]).alias("end"), x["value"].alias("value")))
 
-    steps = F.transform(steps, lambda x: F.struct(x["gap"].alias("0"), x["n"].alias("1"), x["value"].alias("2")))
-    return F.when(text.rlike(pattern), F.aggregate(steps, state, add, lambda s: s["spans"])).otherwise(none)
+        return F.transform(piece, span)
+
+    def pieces(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _PIECE).cast("int")), lambda i: F.slice(xs, i * _PIECE + 1, F.lit(_PIECE)))
+
+    def spans(parts: Column) -> Column:
+        before = lambda sums, i: F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return once(F.transform(parts, total), lambda sums: F.flatten(F.transform(parts, lambda piece, i: once(before(sums, i), lambda at: place(piece, at)))))
+
+    return F.when(text.rlike(pattern), once(steps, lambda xs: once(pieces(xs), spans))).otherwise(none)
 
 
 def scan_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -57,34 +70,34 @@ def scan_secrets(docs: DataFrame, *, id_column: str = "doc_id", text_column: str
     token (lower case, upper case and digits, 20 characters or more, not inside a strong
     finding) near an id; a user or client id near a secret; an endpoint near both.
 
-    A null or empty text has no findings. Null and repeated ids and repeated rows each get
+    A null or empty text has no findings; a very long one takes time in proportion to its
+    length, however many findings it has. Null and repeated ids and repeated rows each get
     their row. Other columns are not read. An empty table gives no rows.
     """
     text = F.col("t")
     rows = docs.select(F.col(id_column).alias("id"), common.text_of(F.col(text_column).cast("string")).alias("t"))
     plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    overlaps = lambda x: F.exists("strong", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     mixed = lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")
     rows = rows.select(
         "id", "t",
         plain(F.filter(match_spans(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= 8)).alias("assign"),
         plain(match_spans(text, ACCESS)).alias("access"), plain(match_spans(text, HEX)).alias("hex"),
-    )
-    rows = rows.withColumn("strong", F.concat("assign", "access", "hex"))
-    rows = rows.select(
-        "id", "assign", "access", "hex",
-        plain(F.filter(match_spans(text, TOKEN), lambda x: mixed(x["value"]) & ~overlaps(x))).alias("weak_secret"),
+        plain(F.filter(match_spans(text, TOKEN), lambda x: mixed(x["value"]))).alias("weak_secret"),
         plain(F.filter(match_spans(text, USER, 2), lambda x: F.length(x["value"]) >= 3)).alias("weak_id"),
         plain(match_spans(text, ENDPOINT)).alias("endpoint"),
         F.monotonically_increasing_id().alias("row"),
     )
     rows = common.durable(rows)  # the row numbers, and the scan of the texts, hold from here
 
-    ids, secrets = F.size("access") + F.size("weak_id"), F.size("assign") + F.size("weak_secret")
-    both = rows.where((ids > 0) & (secrets > 0))
+    # parts of the texts that may have both sides: (row, kind, start, end)
+    both = rows.where((F.size("access") + F.size("weak_id") > 0) & (F.size("assign") + F.size("weak_secret") > 0))
     kind = lambda name: F.transform(name, lambda x: F.struct(F.lit(KINDS.index(name)).alias("k"), x["start"].alias("start"), x["end"].alias("end")))
-    parts = both.select("row", F.explode(F.concat(*map(kind, ("assign", "access", "weak_secret", "weak_id", "endpoint")))).alias("p")).select("row", "p.*")
-    parts = parts.withColumn("bin", F.floor(F.col("start") / F.lit(scope)))
+    parts = both.select("row", F.explode(F.concat(*map(kind, KINDS))).alias("p")).select("row", "p.*")
+    # weak tokens that overlap a strong finding are none: an interval join on the bins that each touches
+    binned = lambda what: parts.where(what).withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / F.lit(scope)), F.floor((F.col("end") - 1) / F.lit(scope)))))
+    a, b = binned("k = 3").alias("a"), binned("k < 3").alias("b")
+    inside = a.join(b, F.expr("a.row = b.row AND a.bin = b.bin AND a.start < b.end AND b.start < a.end"), "left_semi").select("row", "k", "start").distinct()
+    parts = parts.where("k <> 2").join(inside, ["row", "k", "start"], "left_anti").withColumn("bin", F.floor(F.col("start") / F.lit(scope)))
     is_id, is_secret = F.col("k").isin(1, 4), F.col("k").isin(0, 3)
     near = lambda df, what: (
         df.withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))

@@ -112,3 +112,42 @@ def test_toxicity_tolerates_inserted_characters(spark):
 
 def test_digest_helper_is_sha256(spark):
     assert spark.range(1).select(F.sha2(F.lit("x"), 256)).first()[0] == hashlib.sha256(b"x").hexdigest()
+
+
+def test_likeness_comes_from_the_fingerprints(spark):
+    """The strings alone, parsed and subtracted, give the likeness of brute force over the digests, or null where peeling stops."""
+    base = [f"w{i * 7919 % 1000}" for i in range(400)]
+    texts = ["", "one two", " ".join(base[:90]), " ".join(base), " ".join([*base[:200], "x", *base[201:]]), " ".join(base[:395]), " ".join(f"z{i}" for i in range(3000))]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    prints = fingerprint.fingerprint(docs).select("doc_id", fingerprint.parsed(F.col("fingerprint")).alias("p"), F.regexp_extract("fingerprint", r"^(\d)", 1).cast("int").alias("level"))
+    digests = {}
+    for level in range(5):
+        for r in docs.select("doc_id", fingerprint.paragraph_digests(F.coalesce("text", F.lit("")), F.lit(level)).alias("d")).collect():
+            digests[r["doc_id"], level] = set(r["d"])
+    a, b = prints.alias("a"), prints.alias("b")
+    got = a.join(b, F.col("a.doc_id") <= F.col("b.doc_id")).select("a.doc_id", F.col("b.doc_id").alias("other"), "a.level", F.col("b.level").alias("other_level"), fingerprint.likeness_of(F.col("a.p"), F.col("b.p")).alias("near")).collect()
+    known = 0
+    for r in got:
+        level = r["level"] if r["level"] == r["other_level"] else 4
+        x, y = digests[r["doc_id"], level], digests[r["other"], level]
+        want = 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        known += r["near"] is not None
+        assert r["near"] is None or abs(r["near"] - want) < 1e-12
+    assert known >= len(got) / 2
+    pairs = fingerprint.compare_with_edit(docs).select("doc_id", "near_next").collect()
+    order = {r["doc_id"]: r["near_next"] for r in pairs}
+    levels = {r["doc_id"]: r["level"] for r in prints.collect()}
+    for i in range(len(texts)):
+        j = (i + 1) % len(texts)
+        level = levels[i] if levels[i] == levels[j] else 4
+        x, y = digests[i, level], digests[j, level]
+        assert abs(order[i] - (2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0)) < 1e-12
+
+
+def test_very_many_findings_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"AKIA{'A' * 12}{i} x" for i in range(60_000))
+    start = time.perf_counter()
+    got = secrets.scan_secrets(frame(spark, [(1, text, "a")])).select(F.size("base").alias("n"), F.element_at("base", -1)["end"].alias("end")).first()
+    assert tuple(got) == (60_000, len(text) - 2) and time.perf_counter() - start < 60  # quadratic time would take many minutes
