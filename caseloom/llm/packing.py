@@ -15,6 +15,7 @@ The operator is a map over the scan's partitions: no shuffle, memory bounded by
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -39,15 +40,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Token ids of a byte-level BPE file. Strings of special tokens in a text are ordinary text.
+    """Token ids of a byte-level BPE file, as ``tokenizers`` gives them without adding special tokens.
 
-    The vocabulary is read by ``tokenizers``; when the same vocabulary lies beside it as
-    ranks, the faster encoder over those ranks is used (same ids, see the tests).
+    When the same vocabulary lies beside the file as ranks, the faster encoder over those
+    ranks is used (same ids, see the tests), but for texts that hold the string of an added
+    token: ``tokenizers`` reads these, whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.path, self._slow, self._fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            self._added = [t["content"] for t in json.load(f).get("added_tokens", ()) if t["content"]]
         ranks = re.sub(r"\.json$", ".tiktoken", path)
         if ranks != path and os.path.exists(ranks):
             import base64
@@ -63,11 +67,12 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._slow = Tokenizer.from_file(self.path)
-            self._slow.encode_special_tokens = True
         return self._slow.encode(text, add_special_tokens=False).ids
 
     def ids(self, text: str) -> np.ndarray:
         """Very long texts go in parts, cut before a lone space, where no token can span."""
+        if any(t in text for t in self._added):
+            return np.array(self.slow(text), dtype="<u4")
         parts, at = [], 0
         while len(text) - at > _SPLIT_AT:
             cut = at + _SPLIT_AT

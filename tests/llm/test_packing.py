@@ -37,3 +37,12 @@ def test_every_id_is_in_one_piece(spark):
             assert ids.tolist() == [*e.ids(text or "").tolist(), 1] and (g.doc_tokens == len(ids)).all()
     assert (out[out.doc_id == 6].start == 0).sum() == 2 and out.doc_id.isna().sum() == 1
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_ids_are_those_of_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    for text in ("", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n\n b", "plain  words\t and more", "naïve 𝒳 \r\n  end ", " ".join(f"w{i}" for i in range(3000)) + "<|endoftext|>"):
+        assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
