@@ -6,7 +6,7 @@ each of three parts of the sketch; a cell keeps a count, the xor of its digests
 of their checks. Subtracting two sketches cancels what the texts share; cells left with one
 digest give it up, and taking it from its other cells frees further ones, until the
 differing digests are known. If cells remain, the two texts are sketched again with more
-cells, several times as many as both have digests.
+cells, at last three times as many as both have digests.
 
 A text under 1344 characters would have few paragraphs; its fingerprint also has a sketch of
 shorter ones. Two fingerprints are compared at the level of their finest paragraphs if that
@@ -22,6 +22,8 @@ from caseloom.llm import common
 
 #: Cells in each of the three parts of a fingerprint.
 WIDTH = 16
+#: Of the first retry.
+RETRY = 64
 ROUNDS = 8
 #: A paragraph of a long text has about 2^MAX_LEVEL words.
 MAX_LEVEL = 4
@@ -120,15 +122,16 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, retry: Wi
     """Share of common paragraphs, 2 * common / (|a| + |b|), found by peeling the difference of two sketches; 1 for two empty texts.
 
     a and b are the digests: their numbers count, and where peeling stops they are sketched
-    again with parts of the width retry. Where no digest is common nothing is there to be
-    told apart. Should the retry fail too, which needs digests that meet in all three parts,
-    the digests are compared themselves.
+    again: with RETRY cells a part if they are few enough for it, then with the width retry.
+    Where no digest is common nothing is there to be told apart. Should the last retry fail
+    too, which needs digests that meet in all three parts, they are compared themselves.
     """
     none = F.array().cast("array<bigint>")
     same = F.when(a == b, F.struct(none.alias("only_a"), none.alias("only_b")))
     apart = F.when(~F.arrays_overlap(a, b), F.struct(a.alias("only_a"), b.alias("only_b")))
     compared = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
-    found = F.coalesce(same, apart, difference(sketch_a, sketch_b), difference(sketch(a, retry), sketch(b, retry), retry), compared)
+    again = lambda width: difference(sketch(a, width), sketch(b, width), width)
+    found = F.coalesce(same, apart, difference(sketch_a, sketch_b), F.when(F.size(a) + F.size(b) <= 2 * RETRY, again(RETRY)), again(retry), compared)
     return _likeness(F.size(a), F.size(b), F.size(found["only_a"]))
 
 
@@ -187,7 +190,7 @@ def as_text(name: str) -> Column:
 def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """df with, for each out=(a, b), the likeness of two texts' sketches at the level that they are compared at.
 
-    A retry has parts four times as wide as both texts have digests, rounded up.
+    The last retry has parts as wide as both texts have digests, rounded up: three cells a digest.
     """
     ones = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
 
@@ -197,7 +200,7 @@ def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
         return F.struct(*[pick(x, part).alias(f"{part}_{side}") for side, x in (("a", a), ("b", b)) for part in ("digests", "cells")])
 
     def wider(p: Column) -> Column:
-        low = F.floor(F.log2(F.greatest(F.size(p["digests_a"]) + F.size(p["digests_b"]), F.lit(1))) / 2).cast("int") + 2
+        low = F.ceil(F.log2(F.greatest(F.size(p["digests_a"]) + F.size(p["digests_b"]), F.lit(2))) / 2).cast("int")
         return F.struct(p.alias("p"), low.alias("low"), ones(low).alias("ones"))
 
     both = F.transform(F.array(*[sides(a, b) for a, b in pairs.values()]), wider)
