@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from caseloom.llm import chat, fim, fingerprint, jaccard, lines, mixing, packing, secrets, suffixes, topk, toxicity
+from caseloom.llm import audit, chat, fim, fingerprint, jaccard, lines, mixing, packing, secrets, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_fingerprint": fingerprint.op9_fingerprint,
     "op10_chat": chat.op10_chat,
+    "op11_divergence": audit.op11_divergence,
     "op13_fim": fim.op13_fim,
     "pipeline": corpus_pipeline.run,
 }
@@ -30,5 +31,6 @@ ORACLES: dict[str, str] = {
     "op6_suffixes": suffixes.OP6_SQL,
     "op8_secrets": secrets.OP8_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_divergence": audit.OP11_SQL,
     "op13_fim": fim.OP13_SQL,
 }
