@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import replies
 from caseloom.functions import text as fx
 from caseloom.operators import joins, metrics, ranking, retrieval, windows
-from caseloom.plans import encounters, policy
+from caseloom.plans import encounters, estimators, policy
 from caseloom.streaming import coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,11 +341,19 @@ def ridge_moments(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "lineitem").agg(F.count("*").alias("n"), F.round(F.avg(q * q), 4).alias("qq"), F.round(F.avg(q * s), 6).alias("qd"), F.round(F.avg(s * s), 8).alias("dd"), F.round(F.avg(q * y), 1).alias("qy"))
 
 
-@query()
+_RIDGE = ("l_quantity", "l_discount", "l_tax")
+_CENTRED = ", ".join(f"sum({a} * {b}) - sum({a}) * sum({b}) / count(*)" + (f" + {float(i == j)} AS a{i}{j}" if b != "l_extendedprice" else f" AS y{i}") for i, a in enumerate(_RIDGE) for j, b in enumerate((*_RIDGE, "l_extendedprice")) if j >= i)
+
+
+@query(f"""WITH m AS (SELECT {_CENTRED}, avg(l_quantity) AS m0, avg(l_discount) AS m1, avg(l_tax) AS m2, avg(l_extendedprice) AS my FROM (SELECT l_quantity::DOUBLE AS l_quantity, l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax, l_extendedprice::DOUBLE AS l_extendedprice FROM lineitem)),
+d AS (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det FROM m),
+w AS (SELECT *, (y0 * (a11 * a22 - a12 * a12) - a01 * (y1 * a22 - a12 * y2) + a02 * (y1 * a12 - a11 * y2)) / det AS w0,
+  (a00 * (y1 * a22 - a12 * y2) - y0 * (a01 * a22 - a12 * a02) + a02 * (a01 * y2 - y1 * a02)) / det AS w1, (a00 * (a11 * y2 - y1 * a12) - a01 * (a01 * y2 - y1 * a02) + y0 * (a01 * a12 - a11 * a02)) / det AS w2 FROM d)
+SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS place, round(unnest([w0, w1, w2, my - w0 * m0 - w1 * m1 - w2 * m2]), 3) AS coefficient FROM w""")
 def ridge_normal_equations(spark: SparkSession, d: str) -> DataFrame:
-    """ML-1, ML-9, ML-12."""
-    m = policy.ridge(t(spark, d, "lineitem"), F.array("l_quantity", "l_discount", "l_tax"), F.col("l_extendedprice"))
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.weights)], "place long, coefficient double")
+    """ML-1, ML-9, ML-12: three features, whose normal equations Cramer's rule solves in SQL."""
+    m = policy.ridge(t(spark, d, "lineitem"), F.array(*[F.col(c).cast("double") for c in _RIDGE]), F.col("l_extendedprice"))
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.weights)], "place long, coefficient double").withColumn("coefficient", F.round("coefficient", 3))
 
 
 @query()
@@ -359,23 +367,19 @@ def policy_rules(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kfold_crossfit(spark: SparkSession, d: str) -> DataFrame:
     """ML-7: a row per user of all events."""
-    return spark.createDataFrame([(policy.cross_fitted_value(policy.of_events(t(spark, d, "events")).persist()),)], "value double")
+    return spark.createDataFrame([(policy.cross_fitted_value(policy.of_events(t(spark, d, "events"))),)], "value double")
 
 
 @query()
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """INF-1..3, MSC-11, MSC-12: intervals of the policy's value over all users; percentile of the cross-fitted one, the others in-sample."""
-    df = policy.of_events(t(spark, d, "events")).persist()
-    n, value, crossed = df.count(), policy.fit_q(df).value, policy.cross_fitted_value(df)
-    m, rows = policy.subsample_size(n), policy.with_states(df).select("encounter_id", "s2", "A2", "R1_responder", "Y")
-    full = policy.replicates(rows, policy.cross_fitted, 500, seed=2)
-    part = policy.replicates(rows, policy.optimal_value, 500, m=m)
-    other = policy.replicates(rows, policy.optimal_value, 500, m=m, seed=1)
-    rows = [("percentile", policy.interval(full, crossed)), ("m_out_of_n", policy.interval(part, value, kind="m_out_of_n", m=m, n=n)), ("projection", policy.interval(other, value, kind="projection"))]
-    out = None
-    for name, r in rows:
-        out = r.withColumn("kind", F.lit(name)) if out is None else out.unionByName(r.withColumn("kind", F.lit(name)))
-    return out
+    df = policy.of_events(t(spark, d, "events"))
+    inside, crossed = policy.PolicyValue(estimators.Ridge()), policy.PolicyValue(estimators.Ridge(), estimators.Folds())
+    n, value, held = df.count(), inside.values(df, estimators.Same())[0], crossed.values(df, estimators.Same())[0]
+    m = policy.subsample_size(n)
+    full, part, other = policy.replicates(df, crossed, 100, seed=2), policy.replicates(df, inside, 500, m=m), policy.replicates(df, inside, 500, m=m, seed=1)
+    rows = [("percentile", policy.interval(full, held)), ("m_out_of_n", policy.interval(part, value, kind="m_out_of_n", m=m, n=n)), ("projection", policy.interval(other, value, kind="projection"))]
+    return joins.union_to([r.withColumn("kind", F.lit(name)) for name, r in rows], ("point", "low", "high", "n_draws", "kind"))
 
 
 @query("""SELECT conv_id AS encounter_id, turn, round(covered / 8.0, 6) AS coverage_rate FROM (
