@@ -61,8 +61,8 @@ def valid(raw: Column | None = None) -> Column:
     return ok & F.get_json_object(raw, "$.outcome").rlike(r'"diag_correct"\s*:')
 
 
-def flatten(enc: DataFrame, raw: str | None = None) -> DataFrame:
-    """[PRJ-1, MSC-14] One row of 24 columns per valid encounter."""
+def flatten(enc: DataFrame, raw: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """[PRJ-1, MSC-14] One row of 24 columns per valid encounter, and those to keep."""
     turns = lambda s: F.size(F.filter("trajectory", lambda t: t["stage"] == s))
     df = enc.where(valid(F.col(raw) if raw else None))
     return df.select(
@@ -71,7 +71,7 @@ def flatten(enc: DataFrame, raw: str | None = None) -> DataFrame:
         *[F.coalesce(F.col(f"R1.{a}"), F.lit(0)).alias(f"R1_{b}") for a, b in (("OPQRST", "OPQRST"), ("red_flags", "red_flags"), ("past_medical_history", "pmh"), ("medications_allergies", "meds"), ("social_family_history", "social"))],
         F.coalesce("R2.final_confidence", F.lit(0.5)).alias("R2_final_conf"), F.coalesce("R2.avg_confidence", F.lit(0.5)).alias("R2_avg_conf"), F.coalesce("R2.confidence_level", F.lit("low")).alias("R2_level"),
         turns(1).alias("stage1_turns"), turns(2).alias("stage2_turns"), literacy_of(F.col("literacy_persona"), F.col("persona")).alias("literacy_id"),
-        F.col("outcome.diag_correct").cast("int").alias("Y"), F.col("outcome.red_flag_miss").alias("outcome_red_flag_miss"), F.col("outcome.dangerous_advice").alias("outcome_dangerous"),
+        F.col("outcome.diag_correct").cast("int").alias("Y"), F.col("outcome.red_flag_miss").alias("outcome_red_flag_miss"), F.col("outcome.dangerous_advice").alias("outcome_dangerous"), *keep,
     )
 
 
@@ -124,47 +124,6 @@ def outcome(diagnosis: Column, judged: Column, missed: Column, r2: Column, mcq:
     return F.struct(flag("diag_correct"), flag("dangerous_advice"), flag("appropriate_management"), F.when(has, missed).otherwise(False).alias("red_flag_miss"), r2.alias("R2_category"), mcq.alias("mcq_correct"))
 
 
-def metric_table(enc: DataFrame, case_ids: DataFrame, policy: DataFrame, closed_ids: DataFrame | None = None) -> DataFrame:
-    """[MSC-10, SET-2, AGG-2..9, FLT-2..6] The 108-row summary: baseline, grid paths, policy lookup, closed loop, each also by category.
-
-    enc: encounters (run_mode, case_id, case_category, path_id, forced_a1, forced_a2, outcome,
-    seq); policy: case_id, pi1, pi2. Rows: 1 + 8 + 9 + 72 + 1 + 8 + 1 + 8.
-    """
-    spark = enc.sparkSession
-    correct = F.col("outcome.diag_correct")
-    rows = enc.withColumn("case_category", metrics.normalize_category(F.col("case_category")))
-    inside = rows.join(case_ids.select("case_id").distinct(), "case_id", "left_semi")
-    cats = metrics.values_frame(spark, "case_category", schemas.CATEGORIES)
-    counts = ["n", "n_scored"]
-
-    def block(df: DataFrame, name: str, mode: str) -> list[DataFrame]:
-        whole = df.agg(*metrics.accuracy(correct)).withColumns({"block": F.lit(name), "run_mode": F.lit(mode)})
-        by = metrics.with_all_levels(df.groupBy("case_category").agg(*metrics.accuracy(correct)), cats, ["case_category"], counts)
-        return [whole, by.withColumns({"block": F.lit(f"{name}_by_category"), "run_mode": F.lit(mode)})]
-
-    base = block(inside.where("run_mode = 'baseline'"), "baseline", "baseline")
-    grid = inside.where("run_mode = 'grid'")
-    grid = grid.withColumns({"A1": F.coalesce("forced_a1", F.split("path_id", "_")[0]), "A2": F.coalesce("forced_a2", F.split("path_id", "_")[1])})  # [FLT-6]
-    paths = joins.grid_of(spark.range(1).select(F.lit(1).alias("x_")), schemas.A1_ARMS, schemas.A2_ARMS).drop("x_")
-    by_path = metrics.with_all_levels(grid.groupBy("A1", "A2").agg(*metrics.accuracy(correct)), paths, ["A1", "A2"], counts)
-    both = joins.grid_of(cats, schemas.A1_ARMS, schemas.A2_ARMS)
-    by_both = metrics.with_all_levels(grid.groupBy("A1", "A2", "case_category").agg(*metrics.accuracy(correct)), both, ["A1", "A2", "case_category"], counts)
-    grids = [by_path.withColumns({"block": F.lit("grid_path"), "run_mode": F.lit("grid")}), by_both.withColumns({"block": F.lit("grid_path_by_category"), "run_mode": F.lit("grid")})]
-
-    first = joins.first_by(grid, "case_id", "seq", "case_category")  # [AGG-31]
-    hits = joins.policy_outcomes(policy.join(case_ids.select("case_id").distinct(), "case_id", "left_semi"), grid.select("case_id", "A1", "A2", correct.cast("int").alias("y"), "seq")).join(first, "case_id", "left")
-    found = [F.count("*").alias("n"), F.count("y").alias("n_scored"), F.count_if(F.col("y").isNull()).alias("n_missing"), F.avg("y").alias("mean_correct")]
-    lookup = [hits.agg(*found), metrics.with_all_levels(hits.groupBy(metrics.normalize_category(F.col("case_category")).alias("case_category")).agg(*found), cats, ["case_category"], [*counts, "n_missing"])]
-    lookup = [d.withColumns({"block": F.lit(n), "run_mode": F.lit("adaptive")}) for d, n in zip(lookup, ("adaptive", "adaptive_by_category"), strict=True)]
-
-    loop = rows.where("run_mode = 'smart_adaptive_loop'")
-    if closed_ids is not None:
-        loop = loop.join(closed_ids.select("case_id").distinct(), "case_id", "left_semi")
-    closed = block(loop, "closed_loop", "smart_adaptive_loop")
-    closed[0] = closed[0].withColumn("error", F.when(F.col("n") == 0, "no rows"))
-    return joins.union_to([*base, *grids, *lookup, *closed], schemas.METRIC)
-
-
 def select_facts(facts: Column, importance: Column, mode: str, case_id: Column, seed: int) -> Column:
     """[PRJ-20, PRJ-21] none, one (by a hash of seed and case), important (exactly two so labelled, else none), or all."""
     from caseloom.operators.ranking import hash_pick

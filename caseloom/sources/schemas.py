@@ -23,7 +23,6 @@ RESULT = (
     "id long, interactive_system struct<correct: boolean, letter_choice: string, questions: array<string>, answers: array<string>, num_questions: int, intermediate_choices: array<string>>, "
     "info struct<initial_info: string, question: string, correct_answer: string, correct_answer_idx: string, options: map<string,string>, context: array<string>, facts: array<string>>"
 )
-METRIC = ("block", "run_mode", "path_id", "A1", "A2", "case_category", "n", "n_scored", "n_missing", "mean_correct", "error")
 #: Fixed values of the log format.
 CATEGORIES = ("Cardiology", "Neuro", "GI", "Pulm", "Infectious", "Pediatrics", "Psychiatry", "Other")
 A1_ARMS = ("A1a", "A1b", "A1c")

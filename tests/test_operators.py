@@ -98,33 +98,6 @@ def test_numbering_a_million_wide_rows(spark):
     assert w.where("before >= k").count() == 0
 
 
-def encounter(i, case, category, mode, a1=None, a2=None, correct=True, seq=0):
-    return (f"e{i}", case, category, mode, f"{a1}_{a2}" if a1 else None, a1, a2, (correct,), seq)
-
-
-ENC = "encounter_id string, case_id string, case_category string, run_mode string, path_id string, forced_a1 string, forced_a2 string, outcome struct<diag_correct: boolean>, seq int"
-
-
-def test_metric_table_has_108_rows(spark):
-    data = [encounter(0, "c0", "Cardio", "baseline"), encounter(1, "c1", "Neuro", "baseline", correct=False)]
-    i = 2
-    for case, cat in (("c0", "Cardio"), ("c1", "Neuro")):
-        for a1 in schemas.A1_ARMS:
-            for a2 in schemas.A2_ARMS:
-                data.append(encounter(i, case, cat, "grid", a1, a2, a2 == "A2a", i))
-                i += 1
-    enc = spark.createDataFrame(data, ENC)
-    policy = spark.createDataFrame([("c0", "A1a", "A2a"), ("c1", "A1b", "zzz")], "case_id string, pi1 string, pi2 string")
-    t = encounters.metric_table(enc, enc.select("case_id"), policy).cache()
-    assert t.count() == 108
-    base = t.where("block = 'baseline'").first()
-    assert int(base["n"]) == 2 and float(base["mean_correct"]) == 0.5
-    assert float(t.where("block = 'grid_path' and A1 = 'A1a' and A2 = 'A2a'").first()["mean_correct"]) == 1.0
-    ad = t.where("block = 'adaptive'").first()
-    assert (int(ad["n"]), int(ad["n_missing"])) == (2, 1)
-    assert t.where("block = 'closed_loop'").first()["error"] == "no rows"
-
-
 def test_jsonl_modes_and_last_wins(spark, tmp_path):
     f = tmp_path / "x.jsonl"
     f.write_text('{"id": 1, "v": "a"}\n\nnot json\n{"id": 1, "v": "b"}\n')
