@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from caseloom.llm import audit, chat, fim, fingerprint, jaccard, lines, mixing, packing, quality, secrets, suffixes, topk, toxicity
+from caseloom.llm import audit, chat, fim, fingerprint, jaccard, lines, mixing, packing, pipeline, quality, secrets, suffixes, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -23,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_divergence": audit.op11_divergence,
     "op12_quality": quality.op12_quality,
     "op13_fim": fim.op13_fim,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
