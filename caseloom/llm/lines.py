@@ -7,13 +7,12 @@ small row per task. Lines whose estimate is near the threshold get an exact dist
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import common
 
 MIN_SITES = 8
-MAX_SHARE = 0.5
 #: Relative error of a sketch (64 registers), and the band around the threshold that is counted exactly.
 ERROR = 0.14
 BAND = 2.0
@@ -43,18 +42,17 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def drop_spread_lines(
-    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, only_copies: bool = False,
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source", min_sites: int = MIN_SITES,
 ) -> DataFrame:
     """All rows and columns, the text without its spread lines, plus removed_lines (long).
 
     A line is spread when it stands, as it is, on min_sites sites or more. Its first
-    occurrence (by id, then text hash, then place) stays; the others go. A document that
-    would lose more than max_share of its characters keeps all of them; with only_copies it
-    keeps just those whose first occurrence is at the same place of an equal text, so that
-    copies stay equal for document deduplication, and any other document loses them. Blank lines never go. A null site is a site. A
-    null text stays null. Rows with equal id and text are treated alike. Null ids come
-    first. A text of very many lines takes time in proportion to them. An empty table gives no rows. If the input has a column removed_lines, the new
-    one gets an underscore.
+    occurrence (by id, then text hash, then place) stays, and so does the same place of every
+    equal text, so that copies of a document stay equal for document deduplication; all
+    others go, however much of a document they are. Blank lines never go. A null site is a
+    site. A null text stays null. Rows with equal id and text are treated alike. Null ids come
+    first. A text of very many lines takes time in proportion to them. An empty table gives
+    no rows. If the input has a column removed_lines, the new one gets an underscore.
     """
     flag = common.free_name(docs, "removed_lines")
     text = common.text_of(F.col(text_column).cast("string"))
@@ -69,18 +67,13 @@ def drop_spread_lines(
     first = hits.groupBy("line").agg(F.min(F.struct("k", "h", "pos")).alias("first"))
     gone = _lookup(hits, first, count).where(F.struct("k", "h", "pos") != F.col("first"))
     copied = (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos"))
-    gone = gone.groupBy("k", "h").agg(F.collect_set("pos").alias("gone"), F.collect_set(F.when(copied, F.col("pos"))).alias("copied"))
-    n_gone: Column = F.aggregate(F.transform("gone", lambda p: F.length(F.get(F.col("lines_"), p))), F.lit(0), lambda a, b: a + b)
+    gone = gone.where(~copied).groupBy("k", "h").agg(F.collect_set("pos").alias("gone"))
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row_"), text.alias("t_"), *key)
     out = inner.join(gone, ["k", "h"], "left").withColumn("lines_", F.when(F.col("gone").isNotNull(), split(F.col("t_"))))
-    few = n_gone <= max_share * F.length("t_")
-    if only_copies:
-        out = out.withColumn("gone", F.when(few, F.col("gone")).otherwise(F.array_except("gone", "copied")))
-    goes = F.coalesce(F.col("gone").isNotNull() & (F.size("gone") > 0 if only_copies else few), F.lit(False))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), "gone")  # by a hash set, in order
     kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines_"), i)), "\n")
-    out = out.withColumn("goes", goes)
+    out = out.withColumn("goes", F.col("gone").isNotNull())
     new = {c: F.col(f"row_.`{c}`").alias(c) for c in names}
     new[text_column] = F.when(F.col("goes"), kept).otherwise(F.col(f"row_.`{text_column}`")).alias(text_column)
     return out.select(*new.values(), F.when(F.col("goes"), F.size("gone")).otherwise(0).cast("long").alias(flag))
@@ -97,14 +90,10 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('s' || source, 'n')
 l AS (
   SELECT doc_id, site, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d
 ), n AS (SELECT * FROM l WHERE NOT regexp_full_match(line, '[\\x20\\x09-\\x0D]*')),
-b AS (SELECT line, min((doc_id, pos)) AS first FROM n GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-g AS (SELECT doc_id, pos, line FROM n JOIN b USING (line) WHERE (doc_id, pos) <> first),
-s AS (SELECT doc_id, sum(length(line)) AS gone, count(*) AS c FROM g GROUP BY doc_id),
-r AS (SELECT doc_id, c FROM s JOIN d USING (doc_id) WHERE gone <= {MAX_SHARE} * length(t)),
-k AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM l
-  WHERE NOT EXISTS (SELECT 1 FROM g JOIN r USING (doc_id) WHERE g.doc_id = l.doc_id AND g.pos = l.pos) GROUP BY doc_id
-)
+b AS (SELECT line, arg_min(doc_id, (doc_id, pos)) AS doc, min((doc_id, pos))[2] AS place FROM n GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+g AS (SELECT n.doc_id, n.pos FROM n JOIN b USING (line) JOIN d AS f ON f.doc_id = b.doc JOIN d AS o ON o.doc_id = n.doc_id WHERE NOT (n.pos = b.place AND o.t = f.t)),
+r AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) AS t FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.pos = l.pos WHERE g.doc_id IS NULL GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(r.c, 0) AS removed_lines, length(coalesce(k.t, '')) AS kept_chars, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 """

@@ -18,7 +18,7 @@ def test_spread_lines_go_but_for_the_first(spark):
 def test_mostly_boilerplate_is_cleaned_unless_a_copy(spark):
     notice = "a notice that is on every site there is"
     rows = [(i, f"{notice}\nown {i}", f"s{i}") for i in range(12)] + [(20 + i, f"{notice}\nown 0", f"s{i}") for i in range(3)]
-    out = {r["doc_id"]: r["text"] for r in lines.drop_spread_lines(frame(spark, rows), only_copies=True).collect()}
+    out = {r["doc_id"]: r["text"] for r in lines.drop_spread_lines(frame(spark, rows)).collect()}
     assert all(out[i] == f"own {i}" for i in range(1, 12))
     assert {out[i] for i in (0, 20, 21, 22)} == {f"{notice}\nown 0"}
 
