@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as fx
 from caseloom.operators import folds
+from caseloom.plans import encounters
 from caseloom.plans.queries import query, t
+from caseloom.streaming import coverage
 
 _LIKES = ("1. Likes clicks", "Do you like views?", "", "Errs")
 
@@ -46,3 +48,38 @@ def unique_questions(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("value") < 40, F.concat(F.lit("I don't know, "), "props")).otherwise(F.concat(F.lit("It was "), F.col("value").cast("string"))).alias("reply"), F.array(*map(F.lit, _LIKES)).alias("facts"),
     )
     return folds.unique_questions(e, "conv", "turn").select("conv", "turn", "asked", "reason")
+
+
+_FOUND = ("Culture shows growth", "Has a cough", "Fever for days", "Pain in the knee")
+
+
+def _has(c: str, terms) -> str:
+    return "(" + " OR ".join("contains({}, '{}')".format(c, x.lower().replace("'", "''")) for x in terms) + ")"
+
+
+_DELTA = """SELECT conv_id, turn AS pos, CASE (conv_id + turn) % 9 WHEN 8 THEN 'x' ELSE CAST((conv_id + turn) % 9 - 1 AS VARCHAR) END AS index, CASE (conv_id + turn) % 7 WHEN 0 THEN 'not sure about that' WHEN 1 THEN 'yes' WHEN 2 THEN 'The CULTURE  showed growth' WHEN 3 THEN 'zebras quarrel quietly elsewhere'
+  WHEN 4 THEN ' Not sure, but the culture showed growth ' ELSE coalesce(text, '') END AS evidence FROM conversations"""
+
+
+@query(rf"""WITH c AS (SELECT conv_id, 'I am not sure, but the culture showed growth. ' || coalesce(string_agg(text, ' ' ORDER BY turn, text), '') AS said FROM conversations GROUP BY 1),
+d AS (SELECT x.*, TRY_CAST(index AS INTEGER) AS i, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) AS said, lower(trim(regexp_replace(evidence, '\s+', ' ', 'g'))) AS e FROM ({_DELTA}) x JOIN c USING (conv_id)),
+w AS (SELECT *, list_filter(regexp_extract_all(e, '\w+'), lambda w: length(w) > 2) AS ws FROM d),
+k AS (SELECT * FROM w WHERE i BETWEEN 1 AND {len(_FOUND)} AND length(trim(evidence)) >= 6 AND (contains(said, e) OR (len(ws) > 0 AND len(list_filter(ws, lambda w: contains(said, w))) >= 0.8 * len(ws)))
+  AND NOT ({_has("e", fx.EVASIVE)} AND NOT ({_has("e", fx.SUBSTANTIVE)} AND len(regexp_extract_all(e, '\w+')) >= 6)) AND (i <> 1 OR {_has("e", fx.LAB_EVIDENCE)})),
+f AS (SELECT conv_id, i, min(pos) AS pos FROM k GROUP BY 1, 2), t AS (SELECT DISTINCT conv_id, turn FROM conversations),
+s AS (SELECT t.conv_id, t.turn, list_sort(list(f.i) FILTER (f.i IS NOT NULL)) AS cov FROM t LEFT JOIN f ON f.conv_id = t.conv_id AND f.pos <= t.turn GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(array_to_string(cov, ','), '') AS covered, array_to_string(list_filter([1, 2, 3, 4], lambda i: NOT coalesce(list_contains(cov, i), false)), ',') AS uncovered, round(coalesce(len(cov), 0) / {len(_FOUND)}, 6) AS coverage_rate FROM s""")
+def coverage_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-13, FLT-9..12, WIN-7, SET-4, ST-1: a judge's proposals of covered facts, cleaned, and what is covered after every turn."""
+    m = t(spark, d, "conversations")
+    n, k = (F.col("conv_id") + F.col("turn")) % 9, (F.col("conv_id") + F.col("turn")) % 7
+    said = m.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    said = said.select("conv_id", F.concat(F.lit("I am not sure, but the culture showed growth. "), F.array_join(F.transform("m", lambda x: x["text"]), " ")).alias("said"))
+    evidence = F.when(k == 0, "not sure about that").when(k == 1, "yes").when(k == 2, "The CULTURE  showed growth").when(k == 3, "zebras quarrel quietly elsewhere").when(k == 4, " Not sure, but the culture showed growth ").otherwise(F.coalesce("text", F.lit("")))
+    delta = m.select("conv_id", F.col("turn").alias("pos"), F.when(n == 8, "x").otherwise((n - 1).cast("string")).alias("index"), evidence.alias("evidence")).join(said, "conv_id")
+    facts = F.array(*map(F.lit, _FOUND))
+    kept = encounters.coverage_delta(delta, facts, F.array().cast("array<int>"), F.col("said"))
+    found = kept.groupBy(F.col("conv_id").alias("encounter_id"), F.col("pos").alias("turn")).agg(F.collect_list("i").alias("indices"))
+    turns = m.select(F.col("conv_id").alias("encounter_id"), "turn").distinct().join(found, ["encounter_id", "turn"], "left").withColumn("total", F.lit(len(_FOUND)))
+    out = coverage.coverage_batch(turns)
+    return out.select(F.col("encounter_id").alias("conv_id"), "turn", F.array_join("covered", ",").alias("covered"), F.array_join(coverage.uncovered(F.col("covered"), F.col("total")), ",").alias("uncovered"), F.round("coverage_rate", 6).alias("coverage_rate"))
