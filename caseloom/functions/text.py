@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,13 +34,23 @@ LAB_EVIDENCE = (
 )
 SUBSTANTIVE = (*LAB_EVIDENCE, "fever", "pain", "swollen", "urination", " pee", "knee", "joint", "antibiotic", "medication", "started", "inflamm")
 ORDERS = r"(?i)^\s*(?:order|obtain|schedule|refer|prescribe|consult)\b"
-STOPWORDS = ("the", "and", "for", "with", "has", "was", "are", "had", "his", "her", "that", "this", "from", "who")
+#: Words that tell nothing of a fact.
+STOPWORDS = (
+    "the", "and", "for", "with", "that", "this", "from", "have", "has", "had", "been", "were", "was", "are", "is", "she", "her", "his", "him", "they", "them", "their",
+    "patient", "presents", "comes", "because", "during", "over", "last", "past", "about", "into", "onto", "also", "than", "then", "when", "while", "after", "before",
+    "being", "does", "did", "not", "any", "all", "but", "who", "whom", "which", "what", "there", "here", "very", "more", "most", "some", "such", "only", "other", "into",
+    "out", "up", "down", "of", "to", "in", "on", "at", "by", "an", "or", "as", "a",
+)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often and in whichever lambda it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
     """Whether a text has any of the terms, in any case."""
-    low = F.lower(text)
-    return F.exists(F.array(*map(F.lit, [t.lower() for t in terms])), lambda t: F.contains(low, t)) if terms else F.lit(False)
+    return F.lower(text).rlike("|".join(re.escape(t.lower()) for t in terms)) if terms else F.lit(False)
 
 
 def normalize_question(text: Column, marker: str = RETRIEVAL_MARKER) -> Column:
@@ -115,17 +126,19 @@ def scorable_facts(facts: Column, orders: str = ORDERS) -> Column:
 def quoted_from(evidence: Column, conversation: Column, share: float = 0.8) -> Column:
     """[FLT-10] The evidence stands in what was said, or enough of its words longer than two do; false if nothing was said."""
     plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " ")))
-    e, c = plain(evidence), plain(conversation)
-    words = F.filter(F.regexp_extract_all(e, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) > 2)
-    hits = F.size(F.filter(words, lambda w: F.contains(c, w)))
-    return (c != "") & (F.contains(c, e) | ((F.size(words) > 0) & (hits >= F.lit(share) * F.size(words))))
+
+    def told(x: Column) -> Column:
+        e, c = x["e"], x["c"]
+        words = F.filter(F.regexp_extract_all(e, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.length(w) > 2)
+        return (c != "") & (F.contains(c, e) | bound(words, lambda ws: (F.size(ws) > 0) & (F.size(F.filter(ws, lambda w: F.contains(c, w))) >= F.lit(share) * F.size(ws))))
+
+    return bound(F.struct(plain(evidence).alias("e"), plain(conversation).alias("c")), told)
 
 
 def red_flag_missed(conversation: Column, flags: Column) -> Column:
     """[FLT-14] Some flag has none of its words longer than two in the conversation."""
-    low = F.lower(conversation)
     words = lambda f: F.filter(F.split(F.lower(f), r"\s+"), lambda w: F.length(w) > 2)
-    return F.coalesce(F.exists(flags, lambda f: ~F.exists(words(f), lambda w: F.contains(low, w))), F.lit(False))
+    return F.coalesce(bound(F.lower(conversation), lambda low: F.exists(flags, lambda f: ~F.exists(words(f), lambda w: F.contains(low, w)))), F.lit(False))
 
 
 def snippet(corpus: Column, needle: Column, before: int = 20, after: int = 80) -> Column:
@@ -140,10 +153,8 @@ def snippet(corpus: Column, needle: Column, before: int = 20, after: int = 80) -
 
 def fact_in_context(fact: Column, corpus: Column, case_age: Column | None = None, share: float = 0.6, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """[FN-21, MSC-1] Laboratory facts never match; the case's age does; else enough content words stand in the corpus."""
-    low = F.lower(corpus)
-    tokens = content_tokens(fact, stopwords)
-    hits = F.size(F.filter(tokens, lambda w: F.contains(low, w)))
-    enough = (F.size(tokens) > 0) & (hits >= F.lit(share) * F.size(tokens))
+    has = lambda x: (F.size(x["t"]) > 0) & (F.size(F.filter(x["t"], lambda w: F.contains(x["c"], w))) >= F.lit(share) * F.size(x["t"]))
+    enough = bound(F.struct(F.lower(corpus).alias("c"), content_tokens(fact, stopwords).alias("t")), has)
     out = F.when(is_lab(fact), False)
     if case_age is not None:
         age = F.regexp_extract(fact, r"(?i)\b(\d{1,3})[- ]?(?:years?|yo|y/o)\b", 1)

@@ -113,6 +113,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
+def overlapping(small: DataFrame, large: DataFrame, small_key: str, large_key: str, words: str, share: float) -> DataFrame:
+    """[FN-21] Pairs of rows of which the large side has at least a share of the small one's words: both keys, hits, n_words.
+
+    A row of n words that finds m = ceil(share * n) of them must find one of its n - m + 1
+    rarest, so rows meet on these alone; frequent words make no candidates unless a row has
+    nothing rarer. Words are arrays without repeats. Keys are unique on each side.
+    """
+    from caseloom.sources.shared import kept
+
+    large = kept(large.select(large_key, words), "words")
+    each = large.select(large_key, F.explode(words).alias("w_"))
+    often = each.groupBy("w_").agg(F.count("*").alias("df_"))
+    mine = small.select(small_key, F.size(words).alias("n_words"), F.explode(words).alias("w_")).join(often, "w_", "left")
+    rare = Window.partitionBy(small_key).orderBy(F.coalesce("df_", F.lit(0)), "w_")
+    least = F.ceil(F.lit(share) * F.col("n_words") - 1e-9)
+    prefix = mine.withColumn("r_", F.row_number().over(rare)).where((F.col("r_") <= F.col("n_words") - least + 1) & F.col("df_").isNotNull())
+    met = prefix.select(small_key, "w_").join(each, "w_").select(small_key, large_key).distinct()
+    both = met.join(small.select(small_key, F.col(words).alias("a_")), small_key).join(large.withColumnRenamed(words, "b_"), large_key)
+    out = both.select(small_key, large_key, F.size(F.array_intersect("a_", "b_")).cast("long").alias("hits"), F.size("a_").cast("long").alias("n_words"))
+    return out.where(F.col("hits") >= F.lit(share) * F.col("n_words"))
+
+
 def first_by(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """[AGG-31] The first value of each key."""
     return df.groupBy(key).agg(F.min(F.struct(order, value)).alias("m")).select(key, F.col(f"m.{value}").alias(value))

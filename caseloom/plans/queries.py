@@ -222,10 +222,9 @@ g AS (SELECT doc_id, unnest({_TOKENS.format(c="text")}) AS w FROM documents)
 SELECT item_id, doc_id, count(*) AS hits, n AS n_tokens FROM f JOIN g USING (w) GROUP BY item_id, doc_id, n HAVING count(*) >= 0.6 * n""")
 def token_overlap_match(spark: SparkSession, d: str) -> DataFrame:
     """FN-21: facts meet texts on shared content words only; 60 % of a fact's words must be there."""
-    words = lambda c: F.array_distinct(fx.content_tokens(F.col(c)))
-    facts = t(spark, d, "benchmark").withColumn("ws", words("text")).select("item_id", F.size("ws").cast("long").alias("n_tokens"), F.explode("ws").alias("w"))
-    docs = t(spark, d, "documents").select("doc_id", F.explode(words("text")).alias("w"))
-    return facts.join(docs, "w").groupBy("item_id", "doc_id", "n_tokens").agg(F.count("*").alias("hits")).where(F.col("hits") >= 0.6 * F.col("n_tokens"))
+    words = lambda name, key: t(spark, d, name).select(key, F.array_distinct(fx.content_tokens(F.col("text"))).alias("words"))
+    found = joins.overlapping(words("benchmark", "item_id"), words("documents", "doc_id"), "item_id", "doc_id", "words", 0.6)
+    return found.select("item_id", "doc_id", "hits", F.col("n_words").alias("n_tokens"))
 
 
 @query("SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{n}'" for n, ws in KEYWORDS) + " ELSE 'Other' END AS category FROM documents")
@@ -275,8 +274,7 @@ dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     q = t(spark, d, "benchmark").join(e, F.col("item_id") == F.col("doc_id")).select(F.col("item_id").alias("query_id"), "vector")
-    both = retrieval.dense(q, e, 10**9).withColumn("score", F.round("score", 9)).drop("rank") if k == 0 else retrieval.dense(q, e, k)
-    return both
+    return retrieval.dense(q, e, k)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM dn WHERE rank <= 5")

@@ -117,3 +117,35 @@ def test_cases_and_manifest(spark, tmp_path):
     assert sinks.claim_run(spark, str(tmp_path), sinks.condition({"seed": 1}, ["seed"])) == mark
     with pytest.raises(ValueError):
         sinks.claim_run(spark, str(tmp_path), sinks.condition({"seed": 2}, ["seed"]))
+
+
+def test_dense_search_in_rounds_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = [(f"d{i:03d}", rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(300)]  # many ties
+    vectors = spark.createDataFrame([*data, ("null", None), ("hole", [1.0, None, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 5), ("short", [9.0])], "id string, v array<double>").repartition(5)
+    asks = [(i, rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(23)]
+    queries = spark.createDataFrame([*asks, (99, None)], "query_id int, v array<double>")
+    want = sorted((q, r + 1, d, s) for q, v in asks for r, (s, d) in enumerate(sorted(((-float(np.dot(v, w)), d) for d, w in data))[:4]))
+    for size in (40, 200, 10**6):  # one query a round, five, all
+        got = retrieval.dense(queries, vectors, 4, doc="id", vector="v", round_bytes=size)
+        assert sorted((r["query_id"], r["rank"], r["doc_id"], -r["score"]) for r in got.collect()) == want
+    plan = retrieval.dense(queries, vectors, 4, doc="id", vector="v")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert retrieval.dense(queries.limit(0), vectors, 4, doc="id", vector="v").count() == 0
+    assert retrieval.dense(queries, vectors.limit(0), 4, doc="id", vector="v").count() == 0
+    assert retrieval.dense(queries, vectors.limit(2), 400, doc="id", vector="v").count() <= 46
+
+
+def test_overlaps_found_by_rare_words_are_all_there_are(spark):
+    import random
+
+    rng = random.Random(6)
+    pick = lambda k: sorted(set(rng.choices([f"w{i}" for i in range(30)], weights=[60 / (i + 1) for i in range(30)], k=k)))
+    small, large = [(i, pick(rng.randint(0, 8))) for i in range(60)], [(i, pick(rng.randint(0, 15))) for i in range(200)]
+    small += [(97, ["nowhere"]), (98, ["nowhere", "w0"]), (99, [])]
+    for share in (0.5, 0.6, 1.0):
+        got = joins.overlapping(spark.createDataFrame(small, "a int, ws array<string>"), spark.createDataFrame(large, "b int, ws array<string>"), "a", "b", "ws", share)
+        want = sorted((a, b, len(set(x) & set(y)), len(x)) for a, x in small for b, y in large if x and len(set(x) & set(y)) >= share * len(x))
+        assert sorted((r["a"], r["b"], r["hits"], r["n_words"]) for r in got.collect()) == want
