@@ -11,6 +11,7 @@ from caseloom.functions import replies
 from caseloom.functions import text as fx
 from caseloom.operators import joins, metrics, ranking, retrieval, windows
 from caseloom.plans import encounters, estimators, policy
+from caseloom.sources import cache, readers
 from caseloom.streaming import coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -255,13 +256,13 @@ lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def _lexical(spark: SparkSession, d: str, k: int) -> DataFrame:
-    postings = retrieval.build_index(t(spark, d, "documents").select("doc_id", "text"))
+    postings = cache.cached(t(spark, d, "documents").select("doc_id", "text"), retrieval.build_index, cache.session_cache(spark), "postings")  # [SNK-12]
     return retrieval.lexical(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), postings, k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM lx WHERE rank <= 3")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    """RET-1, RET-2, SRT-1."""
+    """RET-1, RET-2, SRT-1, SNK-12."""
     return longs(_lexical(spark, d, 3)).withColumn("score", F.round("score", 6))
 
 
@@ -441,3 +442,19 @@ def policy_lookup(spark: SparkSession, d: str) -> DataFrame:
 def top_values(spark: SparkSession, d: str) -> DataFrame:
     """SRT-5, SRT-7: the limit is the feature."""
     return ranking.top_values(t(spark, d, "events"), "event_type", 3)
+
+
+@query("SELECT row_number() OVER () - 1 AS id, doc_id, lang, n_chars FROM documents")
+def split_positions(spark: SparkSession, d: str) -> DataFrame:
+    """SRC-3, SRC-15: each document's place in its split as id, the texts never read."""
+    return readers.with_places(spark, f"{d}/documents.parquet", drop=("text",)).select("id", "doc_id", "lang", "n_chars")
+
+
+_BY_SOURCE = "SELECT source, lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1, 2"
+
+
+@query(_BY_SOURCE)
+def kept_by_content(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-12, SNK-13: a table derived from the documents, read through the cache."""
+    by = lambda df: df.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return cache.cached(t(spark, d, "documents").select("source", "lang", "n_chars"), by, cache.session_cache(spark), "by_source")

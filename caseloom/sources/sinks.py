@@ -8,7 +8,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.sources import readers
+from caseloom.sources import cache, readers
 
 
 def write_jsonl(df: DataFrame, path: str, *, append: bool = False) -> None:
@@ -41,7 +41,7 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_index(df: DataFrame, path: str, key: str) -> None:
-    """[SNK-12, SNK-13] Postings or vectors as Parquet, sorted by key so that readers prune row groups."""
+    """Postings or vectors as Parquet, sorted by key so that readers prune row groups; ``cache.cached`` keeps them by their source's content."""
     df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
 
 
@@ -70,12 +70,10 @@ def condition(config: dict, keys: list[str]) -> str:
 
 
 def claim_run(spark: SparkSession, folder: str, snapshot: str, *, allow_mismatch: bool = False) -> str:
-    """[SNK-14] Freeze a run's settings in its folder; other settings there later are an error."""
-    path, mark = f"{folder}/run_manifest", hashlib.sha256(snapshot.encode()).hexdigest()
-    if readers.exists(spark, path):
-        old = spark.read.json(path).first()
-        if old and old["mark"] != mark and not allow_mismatch:
+    """[SNK-14] Freeze a run's settings in its folder: the first writer's stand, and others with different settings get an error."""
+    path, mark = f"{folder}/run_manifest.json", hashlib.sha256(snapshot.encode()).hexdigest()
+    if not cache.create_once(spark, path, json.dumps({"mark": mark, "snapshot": snapshot}) + "\n"):
+        old = json.loads(cache.read_small(spark, path))
+        if old["mark"] != mark and not allow_mismatch:
             raise ValueError(f"{folder} was run with other settings: {old['snapshot']}")
-    else:
-        spark.createDataFrame([(mark, snapshot)], "mark string, snapshot string").coalesce(1).write.json(path)
     return mark
