@@ -308,3 +308,26 @@ def cell_text(share: Column, n: Column) -> Column:
 def doctor_letter(key: Column) -> Column:
     """[FN-31]"""
     return F.upper(F.regexp_replace(key, "^doctor_", ""))
+
+
+def option_text(options: Column, letter: Column) -> Column:
+    """[PRJ-39, PRJ-16] The option of a letter, '' when there is none: keys and letter by their first character in upper case, A to D only."""
+    first = lambda c: F.substring(F.upper(c), 1, 1)
+    known = F.filter(F.map_entries(options), lambda e: first(e["key"]).isin(*"ABCD"))
+    return F.coalesce(bound(first(letter), lambda x: F.try_element_at(F.filter(known, lambda e: first(e["key"]) == x), F.lit(-1))["value"]), F.lit(""))
+
+
+def joined(values: Column, separator: str = " ") -> Column:
+    """[FN-43] struct(n, first, text) of an array of texts: its length, its first element ('' without one) and all of it as one text."""
+    some = F.coalesce(values, F.array().cast("array<string>"))
+    return F.struct(F.size(some).alias("n"), F.coalesce(F.get(some, F.lit(0)), F.lit("")).alias("first"), F.array_join(some, separator).alias("text"))
+
+
+def iso_time(at: Column) -> Column:
+    """[FN-49] A time as ISO text, in the session's time zone and without it, with microseconds only where it has some."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.date_format(at, "SSSSSS") != "000000", F.concat(F.lit("."), F.date_format(at, "SSSSSS"))).otherwise(""))
+
+
+def encounter_id(at: Column) -> Column:
+    """[FN-49] An encounter's id from the time it began at."""
+    return F.concat(F.lit("enc_"), F.date_format(at, "yyyyMMdd_HHmmss_SSSSSS"))
