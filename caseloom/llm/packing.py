@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from caseloom.llm import common
 
 CAPACITY = 2048
+#: Pieces that a task holds at most; tiny texts are packed in smaller blocks.
+PIECES = 65_536
 END_ID = 1
 _SPLIT_AT = 1 << 20
 
@@ -133,6 +135,18 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def bundles(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of small pieces that together are at most so large, as one piece each for differencing: each piece's bundle, and the bundles' sizes."""
+    place, out = [], []
+    for x in sizes:
+        if out and out[-1] + x <= most:
+            out[-1] += x
+        else:
+            out.append(x)
+        place.append(len(out) - 1)
+    return np.array(place, dtype=np.int64), np.array(out, dtype=np.int64)
+
+
 class _Packer:
     """Packs one task's pieces (document index, start, length); yields placed pieces."""
 
@@ -151,7 +165,7 @@ class _Packer:
             self.pieces.append((doc, at, size))
             self.total += size
             at += size
-        if self.total >= self.windows * self.capacity:
+        if self.total >= self.windows * self.capacity or (len(self.pieces) >= PIECES and self.total >= self.capacity):
             yield from self.flush(last=False)
 
     def _new(self) -> int:
@@ -171,12 +185,13 @@ class _Packer:
             spare -= size
         rest.reverse()
         if self.pieces:
-            sizes = np.array([p[2] for p in self.pieces], dtype=np.int64)
+            bundle, sizes = bundles([p[2] for p in self.pieces], max(1, self.grain // 4))
             while True:
                 window = karmarkar_karp(sizes, k)
                 if np.bincount(window, weights=sizes, minlength=k).max() <= self.capacity:
                     break
                 k += 1
+            window = window[bundle]
             ids, filled = [self._new() for _ in range(k)], [0] * k
             for (doc, at, size), w in zip(self.pieces, window.tolist(), strict=True):
                 yield doc, at, size, ids[w], filled[w]

@@ -46,3 +46,27 @@ def test_ids_are_those_of_an_untouched_tokenizer():
     plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
     for text in ("", "<|endoftext|> x", "a <|endoftext|><|endoftext|>\n\n b", "plain  words\t and more", "naïve 𝒳 \r\n  end ", " ".join(f"w{i}" for i in range(3000)) + "<|endoftext|>"):
         assert encoder.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_tiny_texts_are_packed_in_bounded_memory():
+    import time
+    import tracemalloc
+
+    packer, start = packing._Packer(2048, 512, 256, 8, 0), time.perf_counter()
+    loads, seen = {}, 0
+    tracemalloc.start()
+    for source in ((packer.add((i, np.ones(1, "<u4")), 1) for i in range(600_000)), [packer.flush(last=True)]):
+        for pieces in source:
+            for _, at, size, seq, offset in pieces:
+                assert at == 0 and size == 1 and offset == loads.get(seq, 0)
+                loads[seq] = offset + size
+                seen += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sum(loads.values()) == 600_000 and max(loads.values()) <= 2048 and peak < 300e6 and time.perf_counter() - start < 120
+    assert sum(2048 - n for n in loads.values() if n & (n - 1)) < 0.01 * 600_000
+
+
+def test_bundles_keep_order_and_bound():
+    place, sizes = packing.bundles([5, 60, 70, 128, 1, 1, 500, 2], 128)
+    assert place.tolist() == [0, 0, 1, 2, 3, 3, 4, 5] and sizes.tolist() == [65, 70, 128, 2, 500, 2]
