@@ -24,6 +24,8 @@ from caseloom.llm import common
 WIDTH = 16
 #: Of the first retry.
 RETRY = 64
+#: Smallest digests that a fingerprint holds.
+LEAST = 32
 ROUNDS = 8
 #: A paragraph of a long text has about 2^MAX_LEVEL words.
 MAX_LEVEL = 4
@@ -39,7 +41,7 @@ def level_of(n_chars: Column) -> Column:
 
 
 def paragraph_digests(text: Column, level: Column) -> Column:
-    """The distinct 60-bit digests of a text's content-defined paragraphs."""
+    """The distinct 60-bit digests of a text's content-defined paragraphs, in order."""
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), level) - 1
     cut = lambda w: F.when(F.xxhash64(w).bitwiseAND(mask) == 0, F.concat(w, F.lit("\x01"))).otherwise(w)
     marked = F.array_join(F.transform(F.split(text, _SPACE), cut), " ")
@@ -47,7 +49,7 @@ def paragraph_digests(text: Column, level: Column) -> Column:
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     parts = F.flatten(F.transform(F.split(marked, "\x01"), lambda s: F.when(spaces(s) > MAX_WORDS, ended(s)).otherwise(F.array(s))))
     parts = F.filter(parts, lambda s: F.trim(s) != "")
-    return F.array_distinct(F.transform(parts, lambda s: F.shiftrightunsigned(F.xxhash64(F.trim(s)), 4)))
+    return F.sort_array(F.array_distinct(F.transform(parts, lambda s: F.shiftrightunsigned(F.xxhash64(F.trim(s)), 4))))
 
 
 def _cell(n: Column, key: Column, check: Column) -> Column:
@@ -118,30 +120,36 @@ def _likeness(n_a: Column, n_b: Column, n_only_a: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise(2.0 * (n_a - n_only_a) / (n_a + n_b))
 
 
-def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column, retry: Width) -> Column:
-    """Share of common paragraphs, 2 * common / (|a| + |b|), found by peeling the difference of two sketches; 1 for two empty texts.
+def common_least(a: Column, b: Column) -> Column:
+    """Of the LEAST smallest digests of either or both of two texts, as far as both texts' own smallest tell: struct(common, of)."""
+    both = F.slice(F.sort_array(F.array_union(a, b)), 1, LEAST)
+    return F.struct(F.size(F.array_intersect(F.array_intersect(a, b), both)).alias("common"), F.size(both).alias("of"))
 
-    a and b are the digests: their numbers count, and where peeling stops they are sketched
-    again: with RETRY cells a part if they are few enough for it, then with the width retry.
-    Where no digest is common nothing is there to be told apart. Should the last retry fail
-    too, which needs digests that meet in all three parts, they are compared themselves.
+
+def likeness(n_a: Column, n_b: Column, cells_a: Column, cells_b: Column, least_a: Column, least_b: Column, again: list[Column]) -> Column:
+    """Share of common paragraphs, 2 * common / (n_a + n_b), found by peeling the difference of two sketches; 1 for two empty texts.
+
+    again: what peeling larger sketches of the same texts recovers, smaller ones first; one is
+    looked at only where those before it have not ended. Fingerprints that share none of their
+    smallest digests and have more digests than the sketch has cells are 0 alike. Where the
+    largest sketch fails too, the smallest digests estimate the likeness.
     """
     none = F.array().cast("array<bigint>")
-    same = F.when(a == b, F.struct(none.alias("only_a"), none.alias("only_b")))
-    apart = F.when(~F.arrays_overlap(a, b), F.struct(a.alias("only_a"), b.alias("only_b")))
-    compared = F.struct(F.array_except(a, b).alias("only_a"), F.array_except(b, a).alias("only_b"))
-    again = lambda width: difference(sketch(a, width), sketch(b, width), width)
-    found = F.coalesce(same, apart, difference(sketch_a, sketch_b), F.when(F.size(a) + F.size(b) <= 2 * RETRY, again(RETRY)), again(retry), compared)
-    return _likeness(F.size(a), F.size(b), F.size(found["only_a"]))
+    least = common_least(least_a, least_b)
+    same = F.when((n_a == n_b) & (cells_a == cells_b), F.struct(none.alias("only_a"), none.alias("only_b")))
+    share = least["common"] / least["of"]
+    peeled = _likeness(n_a, n_b, F.size(F.coalesce(same, difference(cells_a, cells_b), *again)["only_a"]))
+    return F.when((least["common"] == 0) & (n_a + n_b > 3 * WIDTH), F.lit(0.0)).otherwise(F.coalesce(peeled, 2 * share / (1 + share)))
 
 
 def _sketch_text(level: Column, digests: Column, cells: Column) -> Column:
     one = lambda c, i: F.when(c["n"] != 0, F.concat(i.cast("string"), F.lit(":"), c["n"].cast("string"), F.lit(":"), F.lower(F.hex(c["key"])), F.lit(":"), F.lower(F.hex(c["check"]))))
-    return F.concat_ws("|", level.cast("string"), F.size(digests).cast("string"), F.array_join(F.transform(cells, one), ","))
+    least = F.transform(F.slice(digests, 1, LEAST), lambda k: F.lower(F.hex(k)))
+    return F.concat_ws("|", level.cast("string"), F.size(digests).cast("string"), F.array_join(F.transform(cells, one), ","), F.array_join(least, ","))
 
 
 def parsed(fingerprint: Column) -> Column:
-    """The sketches of a fingerprint's string, by level: map of struct(n, cells)."""
+    """The parts of a fingerprint's string, by level: map of struct(n, cells, least)."""
     number = lambda x: F.conv(x, 16, 10).cast("bigint")
     zero = _cell(F.lit(0), F.lit(0), F.lit(0))
 
@@ -151,15 +159,17 @@ def parsed(fingerprint: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(3 * WIDTH - 1)), lambda i: F.coalesce(F.try_element_at(table, i), zero))
 
     fields = F.transform(F.split(fingerprint, ";"), lambda x: F.split(x, r"\|"))
-    return F.map_from_entries(F.transform(fields, lambda x: F.struct(x[0].cast("int").alias("level"), F.struct(x[1].cast("int").alias("n"), cells(x[2]).alias("cells")).alias("own"))))
+    least = lambda text: F.transform(F.filter(F.split(text, ","), lambda x: x != ""), number)
+    own = lambda x: F.struct(x[1].cast("int").alias("n"), cells(x[2]).alias("cells"), least(x[3]).alias("least"))
+    return F.map_from_entries(F.transform(fields, lambda x: F.struct(x[0].cast("int").alias("level"), own(x).alias("own"))))
 
 
 def likeness_of(a: Column, b: Column) -> Column:
-    """The likeness of two fingerprints' strings; null where peeling stops and the texts are needed."""
+    """The likeness of two fingerprints' strings alone: by peeling, or estimated from their smallest digests where it stops."""
     fine = lambda x: F.array_min(F.map_keys(x))
     level = F.when(fine(a) == fine(b), fine(a)).otherwise(MAX_LEVEL)
     x, y = F.try_element_at(a, level), F.try_element_at(b, level)
-    return _likeness(x["n"], y["n"], F.size(difference(x["cells"], y["cells"])["only_a"]))
+    return likeness(x["n"], y["n"], x["cells"], y["cells"], x["least"], y["least"], [])
 
 
 def digests_of(df: DataFrame, **texts: str) -> DataFrame:
@@ -188,9 +198,10 @@ def as_text(name: str) -> Column:
 
 
 def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
-    """df with, for each out=(a, b), the likeness of two texts' sketches at the level that they are compared at.
+    """df with, for each out=(a, b), the likeness of two texts' fingerprints at the level that they are compared at.
 
-    The last retry has parts as wide as both texts have digests, rounded up: three cells a digest.
+    Retries have RETRY cells a part where the digests are few enough for it, then as many as
+    both texts have digests, rounded up, then four times as many.
     """
     ones = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
 
@@ -201,11 +212,16 @@ def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
 
     def wider(p: Column) -> Column:
         low = F.ceil(F.log2(F.greatest(F.size(p["digests_a"]) + F.size(p["digests_b"]), F.lit(2))) / 2).cast("int")
-        return F.struct(p.alias("p"), low.alias("low"), ones(low).alias("ones"))
+        return F.struct(p.alias("p"), low.alias("low"), ones(low).alias("ones"), ones(low + 1).alias("more"))
+
+    def near(x: Column) -> Column:
+        p = x["p"]
+        a, b = p["digests_a"], p["digests_b"]
+        peeled = lambda width: difference(sketch(a, width), sketch(b, width), width)
+        retries = [F.when(F.size(a) + F.size(b) <= 2 * RETRY, peeled(RETRY)), peeled((x["low"], x["ones"], x["ones"])), peeled((x["low"] + 1, x["more"], x["more"]))]
+        return likeness(F.size(a), F.size(b), p["cells_a"], p["cells_b"], F.slice(a, 1, LEAST), F.slice(b, 1, LEAST), retries)
 
-    both = F.transform(F.array(*[sides(a, b) for a, b in pairs.values()]), wider)
-    near = lambda x: likeness(x["p"]["digests_a"], x["p"]["digests_b"], x["p"]["cells_a"], x["p"]["cells_b"], (x["low"], x["ones"], x["ones"]))
-    df = df.withColumn("pairs", both).withColumn("nears", F.transform("pairs", near))
+    df = df.withColumn("pairs", F.transform(F.array(*[sides(a, b) for a, b in pairs.values()]), wider)).withColumn("nears", F.transform("pairs", near))
     return df.withColumns({out: F.get("nears", F.lit(i)) for i, out in enumerate(pairs)}).drop("pairs", "nears")
 
 
