@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from caseloom.llm import common
 
+#: Bounds of a fit: labelled documents, words looked at as landmarks, landmarks, and letters of a word that may become one.
 MAX_TRAIN = 4000
+CANDIDATES, LANDMARKS = 1500, 96
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGN = 64
 _LONGEST = 24
@@ -42,7 +44,11 @@ def letters(token: str) -> str:
 
 
 class Kernel:
-    """Triples of letters as subsequences spanning at most ``span`` letters."""
+    """Triples of letters as subsequences spanning at most ``span`` letters.
+
+    a to z have codes of their own; all other letters share 37, by code point, so that two of
+    them may count as one letter.
+    """
 
     def __init__(self, decay: float = 0.6, span: int = 6):
         self.decay, self.span = decay, span
@@ -148,8 +154,13 @@ def merged(tokens: list[str]) -> list[str]:
     return out
 
 
-def mine(texts: list[str], toxic: list[int], kernel: Kernel, most: int = 96, least_z: float = 3.5) -> list[str]:
-    """Words and word beginnings that mark toxic documents, strongest first, near copies left out."""
+def mine(texts: list[str], toxic: list[int], kernel: Kernel, most: int = LANDMARKS, least_z: float = 3.5, candidates: int = CANDIDATES) -> list[str]:
+    """Words and word beginnings that mark toxic documents, strongest first, near copies left out.
+
+    Words of 3 to 24 letters in three toxic documents or more, and four times as often there
+    as in others; of these the ``candidates`` of the highest z are looked at, and at most
+    ``most`` become landmarks. Scoring reads words of any length, long ones in parts.
+    """
 
     def parts(text: str) -> set[str]:
         own = {w for w in map(letters, set(merged(text.lower().split()))) if 3 <= len(w) <= _LONGEST}
@@ -172,7 +183,7 @@ def mine(texts: list[str], toxic: list[int], kernel: Kernel, most: int = 96, lea
             z[w] = (a / n1 - b / n0) / np.sqrt((a + b) / (n1 + n0) * (1 / n1 + 1 / n0))
     chosen: list[str] = []
     maps: list[dict[int, float]] = []
-    for w in sorted((w for w in z if z[w] >= least_z), key=lambda w: (-z[w], w))[:1500]:
+    for w in sorted((w for w in z if z[w] >= least_z), key=lambda w: (-z[w], w))[:candidates]:
         m = kernel.explicit(w)
         size = np.sqrt(sum(v * v for v in m.values()))
         if size and all(sum(v * o.get(c, 0) for c, v in m.items()) < 0.9 * size * np.sqrt(sum(v * v for v in o.values())) for o in maps):
@@ -254,10 +265,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.head, -30, 30)))
 
 
-def fit(texts: list[str], toxic: list[int], gate: float = 0.55, cost: float = 1.0) -> Model:
-    kernel = Kernel()
+def fit(texts: list[str], toxic: list[int], gate: float = 0.55, cost: float = 1.0, landmarks: int = LANDMARKS, candidates: int = CANDIDATES) -> Model:
+    """Landmarks, their SVM and the head, of labelled texts; ``landmarks`` and ``candidates`` bound what ``mine`` looks at."""
+    kernel, most = Kernel(), landmarks
     share = float(np.mean(toxic)) if toxic else 0.0
-    marks = mine(texts, toxic, kernel) if 0 < share < 1 else []
+    marks = mine(texts, toxic, kernel, most, candidates=candidates) if 0 < share < 1 else []
     if not marks:
         return Model(None, np.zeros(0), 0.0, np.zeros(0), share)
     landmarks = Landmarks(marks, kernel, gate)
@@ -286,12 +298,12 @@ def fit(texts: list[str], toxic: list[int], gate: float = 0.55, cost: float = 1.
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most max_train labelled documents, drawn by a hash of the id. Several labels of an id: the highest counts."""
+    """Fit on at most max_train labelled documents, drawn by a hash of the id. Several labels of an id: the highest counts; several texts: the least."""
     label = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("y"))
     label = label.orderBy(F.xxhash64("id"), "id").limit(max_train)
     text = docs.select(F.col(id_column).alias("id"), common.text_of(F.col(text_column).cast("string")).alias("t"))
-    rows = text.join(F.broadcast(label), "id").collect()  # max_train rows
-    rows.sort(key=lambda r: (r["id"], r["t"]))
+    rows = text.join(F.broadcast(label), "id").groupBy("id", "y").agg(F.min("t").alias("t")).collect()  # max_train rows
+    rows.sort(key=lambda r: r["id"])
     return fit([r["t"] for r in rows], [int(r["y"] > 0) for r in rows])
 
 
