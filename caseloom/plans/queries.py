@@ -357,7 +357,7 @@ def ridge_normal_equations(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def policy_rules(spark: SparkSession, d: str) -> DataFrame:
-    """ML-3..5, AGG-12, SRC-21: rules fitted to a row per user of all events, summarised by category and responder."""
+    """ML-3..5, AGG-12: rules fitted to a row per user of all events, summarised by category and responder."""
     fit = policy.fit_q(policy.of_events(t(spark, d, "events")))
     both = [metrics.modal(p, ["case_category", "R1_responder"], fit.rules) for p in ("pi1", "pi2")]
     return fit.rules.groupBy("case_category", "R1_responder").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).join(both[0], ["case_category", "R1_responder"]).join(both[1], ["case_category", "R1_responder"])

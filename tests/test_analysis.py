@@ -2,12 +2,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import text as fx
-from caseloom.plans import analysis, policy
+from caseloom.plans import analysis
 from caseloom.plans.queries import QUERIES
+from tests import simulated
 
 
 def test_nine_tables(spark, tmp_path):
-    df = policy.simulate(spark, 90, 4)
+    df = simulated.simulate(spark, 90, 4)
     tables = analysis.analysis_tables(df, n_boot=12, use_logistic=False)
     assert sorted(tables) == ["arm_cells", "coefficients", "diagnostics", "qa_agreement", "qa_agreement_summary", "rule_summary", "rules", "static_vs_adaptive", "value_ci"]
     ci = {r["method"]: r for r in tables["value_ci"].collect()}

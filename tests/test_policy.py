@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.plans import encounters, policy, queries
 from caseloom.plans import estimators as est
 from caseloom.sources import schemas
+from tests import simulated
 
 
 def test_ridge_matches_the_closed_form(spark):
@@ -20,7 +21,7 @@ def test_ridge_matches_the_closed_form(spark):
 
 
 def test_fit_respects_pools_and_value_is_the_mean(spark):
-    df = policy.simulate(spark, 120, 4)
+    df = simulated.simulate(spark, 120, 4)
     fit = policy.fit_q(df, use_logistic=False)
     got = fit.rules.toPandas()
     assert len(got) == 120 and set(got.loc[~got.R1_responder, "pi2"]) <= set(policy.OTHER_POOL)
@@ -29,13 +30,13 @@ def test_fit_respects_pools_and_value_is_the_mean(spark):
 
 
 def test_one_hot_and_counterfactual(spark):
-    df = policy.with_states(policy.simulate(spark, 5, 1))
+    df = policy.with_states(simulated.simulate(spark, 5, 1))
     r = df.select(policy.counterfactual("A1b").alias("c"), "s2", "s1").first()
     assert len(r["s1"]) == 11 and len(r["s2"]) == 22 and r["c"][-3:] == [0.0, 1.0, 0.0] and r["c"][:-3] == r["s2"][:-3]
 
 
 def test_intervals(spark):
-    df = policy.simulate(spark, 60, 2).select("encounter_id", "Y")
+    df = simulated.simulate(spark, 60, 2).select("encounter_id", "Y")
     draws = policy.replicates(df, policy.Mean("Y"), 20)
     again = policy.replicates(df.repartition(7), policy.Mean("Y"), 20)
     assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, again.collect()))
@@ -80,7 +81,7 @@ def best_value(frame, w):
 
 
 def test_weighted_sums_are_the_fits_of_resamples_and_folds(spark):
-    df = policy.simulate(spark, 150, 6)
+    df = simulated.simulate(spark, 150, 6)
     frame = policy.with_states(df).toPandas()
     inside = policy.PolicyValue(est.Ridge())
     assert abs(inside.values(df, est.Same())[0] - policy.fit_q(df, use_logistic=False).value) < 1e-9
@@ -109,7 +110,7 @@ def test_poisson_weights_have_the_distribution(spark):
 
 
 def test_logistic_ends_where_the_gradient_is_zero(spark):
-    df = policy.simulate(spark, 150, 8)
+    df = simulated.simulate(spark, 150, 8)
     fit = est.Logistic().fit(policy.with_states(df), policy.STAGE2, "Y")
     frame = policy.with_states(df).toPandas()
     x = np.stack(frame["s2"].to_numpy())
@@ -139,7 +140,7 @@ class Favourite:
 
 
 def test_stage_models_are_arguments(spark):
-    df = policy.simulate(spark, 60, 3)
+    df = simulated.simulate(spark, 60, 3)
     fit = policy.fit_q(df, stage2=Favourite("A2c"), stage1=Favourite("A1b"))
     rules = fit.rules.toPandas()
     assert set(rules.loc[rules.R1_responder, "pi2"]) == {"A2c"} and set(rules.loc[~rules.R1_responder, "pi2"]) == {"A2a"}
@@ -147,7 +148,7 @@ def test_stage_models_are_arguments(spark):
 
 
 def test_cell_means_and_fixed_pairs(spark):
-    df = policy.simulate(spark, 200, 5)
+    df = simulated.simulate(spark, 200, 5)
     fit = policy.fit_q(df, stage2=est.CellMeans(("case_category", "R1_responder", "A1")), stage1=est.CellMeans(("case_category",)))
     f = df.toPandas()
     cell = f.groupby(["case_category", "R1_responder", "A1", "A2"]).Y.mean().round(9).to_dict()
@@ -167,7 +168,7 @@ def test_cell_means_and_fixed_pairs(spark):
 
 
 def test_advantages_are_those_of_brute_force(spark):
-    df = policy.simulate(spark, 160, 9)
+    df = simulated.simulate(spark, 160, 9)
     f = policy.with_states(df).toPandas()
     pools = [policy.RESPONDER_POOL if r else policy.OTHER_POOL for r in f.R1_responder]
 
@@ -205,3 +206,9 @@ def test_policies_read_every_event(spark):
     assert rows.agg({"R1_total": "sum"}).first()[0] + rows.count() == events.count()
     got = queries.policy_rules(spark, d).toPandas()
     assert got.n.sum() == events.select("user_id").distinct().count()
+
+
+def test_the_optimum_is_recovered_more_often_with_more_rows(spark):
+    out = simulated.recovery(spark, (40, 400), 2)
+    assert [(r["n"], r["repeat"]) for r in out] == [(40, 0), (40, 1), (400, 0), (400, 1)] and all(r["error"] is None for r in out)
+    assert sum(r["agree_2"] for r in out[2:]) > 1.0
