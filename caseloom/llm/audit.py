@@ -72,11 +72,11 @@ def count_terms(docs: DataFrame) -> DataFrame:
         for b in batches:
             lang, source, text = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
             for i in range(len(b)):
-                own = Counter(terms_of(text[i].as_py()))
+                words = terms_of(text[i].as_py())
                 count, seen = held.setdefault((lang[i], source[i]), [Counter(), Counter()])
                 size -= len(count)
-                count.update(own)
-                seen.update(own.keys())
+                count.update(words)
+                seen.update(set(words))
                 size += len(count)
                 if size > HELD:
                     yield from out()
