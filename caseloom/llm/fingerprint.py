@@ -130,16 +130,16 @@ def likeness(n_a: Column, n_b: Column, cells_a: Column, cells_b: Column, least_a
     """Share of common paragraphs, 2 * common / (n_a + n_b), found by peeling the difference of two sketches; 1 for two empty texts.
 
     again: what peeling larger sketches of the same texts recovers, smaller ones first; one is
-    looked at only where those before it have not ended. Fingerprints that share none of their
-    smallest digests and have more digests than the sketch has cells are 0 alike. Where the
-    largest sketch fails too, the smallest digests estimate the likeness.
+    looked at only where those before it have not ended. Fingerprints without a common smallest
+    digest are 0 alike. Where the largest sketch fails too, the smallest digests estimate.
     """
     none = F.array().cast("array<bigint>")
     least = common_least(least_a, least_b)
     same = F.when((n_a == n_b) & (cells_a == cells_b), F.struct(none.alias("only_a"), none.alias("only_b")))
     share = least["common"] / least["of"]
     peeled = _likeness(n_a, n_b, F.size(F.coalesce(same, difference(cells_a, cells_b), *again)["only_a"]))
-    return F.when((least["common"] == 0) & (n_a + n_b > 3 * WIDTH), F.lit(0.0)).otherwise(F.coalesce(peeled, 2 * share / (1 + share)))
+    apart = (n_a + n_b > 0) & ~F.arrays_overlap(least_a, least_b)
+    return F.when(apart, F.lit(0.0)).otherwise(F.coalesce(peeled, 2 * share / (1 + share)))
 
 
 def _sketch_text(level: Column, digests: Column, cells: Column) -> Column:
@@ -182,12 +182,12 @@ def digests_of(df: DataFrame, **texts: str) -> DataFrame:
     return df.withColumns({**own, **{f"{n}_digests4": F.when(F.col(f"{n}_level") < MAX_LEVEL, paragraph_digests(F.col(t), F.lit(MAX_LEVEL))) for n, t in texts.items()}})
 
 
-def cells_of(df: DataFrame, *names: str) -> DataFrame:
-    """df with name_cells and name_cells4, the sketches of the digests; level 4 is the own level of long texts."""
+def cells_of(df: DataFrame, *names: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """df with name_cells and name_cells4, the sketches of the digests; level 4 is the own level of long texts. Others get no sketches."""
     parts = [f"{n}_{part}" for n in names for part in ("digests", "digests4")]
     df = df.withColumn("sketches", F.transform(F.array(*parts), lambda d: F.when(d.isNotNull(), sketch(d))))
     at = lambda n, i: F.get("sketches", F.lit(2 * names.index(n) + i))
-    df = df.withColumns({**{f"{n}_cells": at(n, 0) for n in names}, **{f"{n}_cells4": F.coalesce(at(n, 1), at(n, 0)) for n in names}, **{f"{n}_digests4": F.coalesce(f"{n}_digests4", f"{n}_digests") for n in names}})
+    df = df.withColumns({**{f"{n}_cells": at(n, 0) for n in names}, **{f"{n}_cells4": F.coalesce(at(n, 1), at(n, 0)) for n in names}, **{f"{n}_digests4": F.coalesce(f"{n}_digests4", f"{n}_digests") for n in (*names, *others)}})
     return df.drop("sketches")
 
 
@@ -201,14 +201,16 @@ def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
     """df with, for each out=(a, b), the likeness of two texts' fingerprints at the level that they are compared at.
 
     Retries have RETRY cells a part where the digests are few enough for it, then as many as
-    both texts have digests, rounded up, then four times as many.
+    both texts have digests, rounded up, then four times as many. A text without columns of
+    cells is sketched where it has a smallest digest in common with the other one.
     """
     ones = lambda bits: F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
 
     def sides(a: str, b: str) -> Column:
         fine = F.col(f"{a}_level") == F.col(f"{b}_level")
         pick = lambda x, part: F.when(fine, F.col(f"{x}_{part}")).otherwise(F.col(f"{x}_{part}4"))
-        return F.struct(*[pick(x, part).alias(f"{part}_{side}") for side, x in (("a", a), ("b", b)) for part in ("digests", "cells")])
+        known = lambda x: pick(x, "cells") if f"{x}_cells" in df.columns else F.lit(None).cast(f"array<{_CELL}>")
+        return F.struct(*[c.alias(f"{part}_{side}") for side, x in (("a", a), ("b", b)) for part, c in (("digests", pick(x, "digests")), ("cells", known(x)))])
 
     def wider(p: Column) -> Column:
         low = F.ceil(F.log2(F.greatest(F.size(p["digests_a"]) + F.size(p["digests_b"]), F.lit(2))) / 2).cast("int")
@@ -219,7 +221,8 @@ def nearness(df: DataFrame, **pairs: tuple[str, str]) -> DataFrame:
         a, b = p["digests_a"], p["digests_b"]
         peeled = lambda width: difference(sketch(a, width), sketch(b, width), width)
         retries = [F.when(F.size(a) + F.size(b) <= 2 * RETRY, peeled(RETRY)), peeled((x["low"], x["ones"], x["ones"])), peeled((x["low"] + 1, x["more"], x["more"]))]
-        return likeness(F.size(a), F.size(b), p["cells_a"], p["cells_b"], F.slice(a, 1, LEAST), F.slice(b, 1, LEAST), retries)
+        cells = [F.coalesce(p[f"cells_{side}"], sketch(x)) for side, x in (("a", a), ("b", b))]
+        return likeness(F.size(a), F.size(b), *cells, F.slice(a, 1, LEAST), F.slice(b, 1, LEAST), retries)
 
     df = df.withColumn("pairs", F.transform(F.array(*[sides(a, b) for a, b in pairs.values()]), wider)).withColumn("nears", F.transform("pairs", near))
     return df.withColumns({out: F.get("nears", F.lit(i)) for i, out in enumerate(pairs)}).drop("pairs", "nears")
@@ -276,7 +279,7 @@ def compare_with_edit(docs: DataFrame, *, id_column: str = "doc_id", text_column
     both = placed.select("k", "h", "t", "n").join(heads.drop("t"), ["k", "h"])
     keep = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
     both = both.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), keep), F.col("next_head")))
-    both = cells_of(digests_of(both, own="t", edited="edited"), "own", "edited", "next")
+    both = cells_of(digests_of(both, own="t", edited="edited"), "own", "edited", others=("next",))
     both = nearness(both, near_edited=("own", "edited"), near_next=("own", "next"))
     return both.select(F.when(F.col("k") != none, F.col("k")).alias(id_column), F.col("n").alias("n_chars"), "edited", as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
 
