@@ -81,7 +81,6 @@ def summary_table(
     base, grid = inside.where(F.col("run_mode") == BASELINE), inside.where(F.col("run_mode") == GRID)
     loop = (rows.join(closed_cases.select("case_id").distinct(), "case_id", "left_semi") if closed_cases is not None else inside).where(F.col("run_mode") == LOOP)
     cats = metrics.values_frame(spark, "category", schemas.CATEGORIES)
-    paths = joins.grid_of(spark.range(1).select(F.lit(1).alias("x_")), schemas.A1_ARMS, schemas.A2_ARMS).drop("x_")
 
     def block(df: DataFrame, name: str, strategy: str, error: str | None) -> list[DataFrame]:
         whole = df.agg(*_mean(correct)).withColumn("error", F.when(F.col("n") == 0, F.lit(error)))
@@ -105,7 +104,7 @@ def summary_table(
         value, error = float(fit.value), None
         chosen = policy.policy_of(fit, flat, "o_")
         seen = grid.select("case_id", F.col("stage1_arm").alias("A1"), F.col("stage2_arm").alias("A2"), correct.cast("int").alias("y"), F.col(order).alias("seq"))
-        hits = known.join(joins.policy_outcomes(chosen, seen).select("case_id", "y"), "case_id", "left")
+        hits = shared.kept(known.join(joins.policy_outcomes(chosen, seen).select("case_id", "y"), "case_id", "left"), "hits")  # a row a case, read twice
     except (ValueError, np.linalg.LinAlgError) as e:
         value, error = None, NO_GRID if not flat.head(1) else str(e)
         hits = known.withColumn("y", F.lit(None).cast("int"))
