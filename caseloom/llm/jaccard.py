@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import common, trie
+from caseloom.llm import common, partners, trie
 from caseloom.llm import shingles as S
 
 #: Shingles in a run that a map task sends, and in a slice that one task merges.
@@ -35,6 +35,8 @@ RUN, MERGED = 1_000_000, 4_000_000
 CHUNK = 200_000
 #: Sets, and shingles, of a block of a partition.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: From partitions of more sets than this go those without a possible partner.
+CROWD = 128
 #: So many ids of texts at most are broadcast; beyond it they are joined by a shuffle.
 FEW = 100_000
 _SEEN_BITS = 36
@@ -298,13 +300,25 @@ def _ordered(chunks: DataFrame, total: int, percent: int) -> DataFrame:
     return both.repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(order, "node long, n long, items binary, tokens array<bigint>")
 
 
-def _members(ordered: DataFrame) -> DataFrame:
-    """hub, node, n, blocks: the partitions' members; a hub is the smallest node of a prefix shingle's postings."""
+def _members(ordered: DataFrame, percent: int) -> DataFrame:
+    """hub, node, n, blocks: the partitions' members; a hub is the smallest node of a prefix shingle's postings.
+
+    In crowded partitions only sets with a possible partner stay, and the smallest of these is the hub.
+    """
     postings = ordered.select("node", "n", F.explode("tokens").alias("token"))
     hubs = postings.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("many")).where("many > 1").select("token", "hub")
     members = common.kept(postings.join(hubs, "token").select("hub", "node", "n").distinct(), "members")
-    sizes = members.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
-    return members.join(sizes.select("hub", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")), "hub")
+    sizes = members.groupBy("hub").agg(F.count("*").alias("sets")).where("sets > 1")
+    sized = common.kept(members.join(sizes, "hub"), "sized")
+    crowded = sized.where(F.col("sets") > CROWD).drop("sets")
+    if not crowded.isEmpty():
+        sets = crowded.select("node").distinct().join(ordered.select("node", "items"), "node")
+        stay = crowded.join(partners.with_partners(sets, percent), "node")
+        first = stay.groupBy("hub").agg(F.min("node").alias("first"))
+        stay = stay.join(first, "hub").select(F.col("first").alias("hub"), "node", "n")
+        sized = common.kept(sized.where(F.col("sets") <= CROWD).select("hub", "node", "n").unionByName(stay).distinct(), "members-with-partners")
+    counts = sized.groupBy("hub").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    return sized.select("hub", "node", "n").join(counts.select("hub", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("blocks")), "hub")
 
 
 def _block(name: str, blocks: str | Column = "blocks") -> Column:
@@ -409,7 +423,7 @@ def _component_labels(docs: DataFrame, id_column: str, text_column: str, rows: D
     picked = F.broadcast(picked) if count <= FEW else picked
     found = texts.alias("x").join(picked.alias("y"), F.expr("x.h = y.h AND x.id <=> y.id")).select("y.node", "x.t")
     ordered = common.kept(_ordered(common.kept(_chunks(found, n), "chunks"), total, percent), "ordered")
-    members = common.kept(_members(ordered), "partitions")
+    members = common.kept(_members(ordered, percent), "partitions")
     links = common.kept(_links_within(members, ordered, percent), "links")
     if links.isEmpty():
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
