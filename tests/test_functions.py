@@ -105,3 +105,21 @@ def test_first_sentence_and_ages(spark):
 
 def test_transcript_stops_at_the_shorter_list(spark):
     assert one(spark, fx.transcript(F.col("q"), F.col("a")), q=["x?", "y?"], a=["z"]) == "Q1: x?\nA1: z"
+
+
+def test_cells_round_exact_halves_to_even(spark, tmp_path):
+    from decimal import Decimal
+
+    import duckdb
+
+    from caseloom.plans import catalog, queries
+
+    d = spark.createDataFrame([(Decimal("0.575"),), (Decimal("0.585"),), (None,)], "s decimal(6,3)")
+    assert [r[0] for r in d.select(fx.cell_text(F.col("s"), F.lit(3))).collect()] == ["58% (n=3)", "58% (n=3)", "— (n=3)"]
+    items = spark.range(1, 241).select(F.col("id").alias("item_id"), F.lit("The patient has a cough.").alias("text"))
+    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    want = con.sql(queries.ORACLES["case_functions"]).project("item_id, cell").fetchall()
+    got = catalog.case_functions(spark, str(tmp_path)).select("item_id", "cell").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
