@@ -82,6 +82,32 @@ def test_lexical_fills_up_with_passages_that_score_nothing(spark):
     assert [r["score"] for r in got][4:8] == [0.0] * 4
 
 
+def test_lexical_search_in_rounds_equals_brute_force_and_shuffles_no_pairs(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    pick = lambda k: " ".join(rng.choices([f"w{i}" for i in range(150)], weights=[1 / (i + 1) for i in range(150)], k=k))
+    data = [(f"d{i:03d}", pick(rng.randint(0, 12))) for i in range(120)]
+    data += [(f"e{i:03d}", data[i][1]) for i in range(60)] + [("null", None)]  # copies tie
+    asks = [(i, pick(rng.randint(1, 9))) for i in range(40)] + [(90, "nowhere"), (91, ""), (92, None)]
+    tf = {d: Counter((t or "").split()) for d, t in data}
+    df = Counter(w for c in tf.values() for w in c)
+    raw = {w: math.log(len(data) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    low, mean = 0.25 * sum(raw.values()) / len(raw), sum(sum(c.values()) for c in tf.values()) / len(data)
+    idf = {w: low if r < 0 else r for w, r in raw.items()}
+    score = lambda q, d: round(sum(n * idf[w] * tf[d][w] * 2.5 / (tf[d][w] + 1.5 * (0.25 + 0.75 * sum(tf[d].values()) / mean)) for w, n in Counter((q or "").split()).items() if w in tf[d]), 9)
+    want = [(q, r + 1, d, round(-s, 6)) for q, t in asks for r, (s, d) in enumerate(sorted((-score(t, d), d) for d, _ in data)[:7])]
+    queries = spark.createDataFrame(asks, "query_id int, query string")
+    index = retrieval.build_index(spark.createDataFrame(data, "doc_id string, text string").repartition(3))
+    for size in (60, 10**6):  # some queries a round, all
+        got = retrieval.lexical(queries, index, 7, round_terms=size)
+        assert sorted((r["query_id"], r["rank"], r["doc_id"], round(r["score"], 6)) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan and "SortAggregate" not in plan
+
+
 def test_rotation_and_numbering(spark):
     pick = windows.rotate_pick(F.array(*map(F.lit, "abc")), F.array(F.lit("a"), F.lit("b")), F.lit(2))
     assert spark.range(1).select(pick).first()[0] == "a"
