@@ -3,9 +3,10 @@
 A text's units (runs of ASCII letters, and every other character alone) are matched in rows
 of up to 64 consecutive units each, which posexplode numbers. Windows over a document's rows
 give the units and characters before each row and the number of units in all, from which the
-two cuts follow. Cut requests meet the rows by unit ordinal; an aggregate has a row per
-document with the place of both cuts, and the document is cut by substrings. Texts are
-shuffled at most once, for the last join; rows of units are some hundredth of the text.
+two cuts follow. Cut requests meet their document's rows by unit ordinal; an aggregate has a
+row per document with the place of both cuts, and the document is cut by substrings. Texts are
+matched once and shuffled at most once, for the last join; the counts of their rows, some
+hundredth of the text, are shuffled once.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ def draws(id_: Column, seed: int = 1) -> list[Column]:
 def cut_places(texts: DataFrame, units_a_row: int = UNITS_A_ROW) -> DataFrame:
     """texts: k1, k2 (a document's key), h1, h2 (its draws), t. Returns a row per key: n (units), and for each cut the characters before its row, the characters of its row, and the units into it."""
     run = f"(?:{UNIT}){{1,{units_a_row}}}"
-    runs = texts.select("k1", "k2", "h1", "h2", F.posexplode(F.regexp_extract_all("t", F.lit(run), F.lit(0))).alias("pos", "run"))
-    # only a text's last row may have fewer units; repeated rows of one document become one
-    units = runs.select("k1", "k2", "h1", "h2", "pos", F.length("run").alias("chars"), F.size(F.regexp_extract_all("run", F.lit(UNIT), F.lit(0))).alias("units"))
-    units = units.groupBy("k1", "k2", "pos").agg(F.any_value("chars").cast("long").alias("chars"), F.any_value("units").cast("long").alias("units"), F.any_value("h1").alias("h1"), F.any_value("h2").alias("h2"))
+    counted = lambda r: F.struct(F.length(r).cast("long").alias("chars"), F.size(F.regexp_extract_all(r, F.lit(UNIT), F.lit(0))).cast("long").alias("units"))
+    # only a text's last row may have fewer units; repeated rows of one document become one before they travel, and their counts travel together
+    sizes = texts.select("k1", "k2", "h1", "h2", F.transform(F.regexp_extract_all("t", F.lit(run), F.lit(0)), counted).alias("sizes"))
+    sizes = sizes.groupBy("k1", "k2").agg(*[F.any_value(c).alias(c) for c in ("h1", "h2", "sizes")])
+    units = sizes.select("k1", "k2", "h1", "h2", F.posexplode("sizes").alias("pos", "row")).select("k1", "k2", "h1", "h2", "pos", "row.chars", "row.units")
     own = Window.partitionBy("k1", "k2")
     before = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = units.withColumns({
@@ -42,10 +44,9 @@ def cut_places(texts: DataFrame, units_a_row: int = UNITS_A_ROW) -> DataFrame:
     })
     a, b = F.col("h1") % (F.col("n") + 1), F.col("h2") % (F.col("n") + 1)
     # a request for the place after `ordinal` units; it meets the row that holds the next unit, or the last row
-    wanted = rows.where("pos = 0").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), F.posexplode(F.array(F.least(a, b), F.greatest(a, b))).alias("cut", "ordinal"))
+    wanted = rows.select("*", F.posexplode(F.array(F.least(a, b), F.greatest(a, b))).alias("cut", "ordinal"))
     into = F.col("ordinal") - F.col("first")
-    holds = (into >= 0) & ((into < F.col("units")) | (F.col("first") + F.col("units") == F.col("n")))
-    met = rows.join(wanted, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")) & holds)
+    met = wanted.where((into >= 0) & ((into < F.col("units")) | (F.col("first") + F.col("units") == F.col("n"))))
     place = F.struct("at", "chars", into.alias("into"))
     return met.groupBy("k1", "k2").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("cut") == i, place)).alias(f"cut{i}") for i in (0, 1)])
 

@@ -42,3 +42,9 @@ def test_cuts_are_those_of_brute_force_whatever_the_rows(spark, a_row):
 
 def test_no_rows(spark):
     assert fim.fill_in_middle(frame(spark, MIXED).limit(0)).count() == 0
+
+
+def test_texts_are_matched_once_and_counts_travel_once(spark):
+    docs = spark.createDataFrame([(1, 2, 3, 4, "some text")], "k1 long, k2 long, h1 long, h2 long, t string")
+    plan = fim.cut_places(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
