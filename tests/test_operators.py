@@ -108,6 +108,37 @@ def test_lexical_search_in_rounds_equals_brute_force_and_shuffles_no_pairs(spark
     assert "SortMergeJoin" not in plan and "Generate" not in plan and "SortAggregate" not in plan
 
 
+def test_index_shuffles_a_row_for_each_term_and_task_not_for_each_passage(spark):
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(10_000)
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), i)), " ")
+    passages = spark.range(0, 400, 1, 2).select(F.col("id").alias("doc_id"), words.alias("text"))
+    before = shuffled()
+    index = retrieval.build_index(passages)
+    n = index.select(F.explode("terms")).count()
+    assert n == 400_000 and shuffled() - before < n / 2  # bytes
+
+
+def test_index_counts_terms_of_repeated_null_and_odd_passages(spark):
+    data = [(1, "A b\x0bA\u00a0c"), (1, "a  D\td"), (2, ""), (3, None), (None, "a"), (None, "e"), (4, " b\nb "), (5, None), (5, ""), (6, "\u0130 x")]
+    p = spark.createDataFrame(data, "doc_id int, text string")
+    got = {r["doc_id"]: (dict(zip(r["terms"], r["counts"], strict=True)), r["length"]) for r in retrieval.term_counts(p.repartition(3)).collect()}
+    want = {r["doc_id"]: {} for r in p.collect()}
+    for r in retrieval.terms(p, "doc_id", "text").groupBy("doc_id", "term").count().collect():
+        want[r["doc_id"]][r["term"]] = r["count"]
+    assert got == {d: (c, sum(c.values())) for d, c in want.items()} and got[1][0] == {"a": 2, "b": 1, "a\u00a0c": 1, "d": 2}
+    q = spark.createDataFrame([(1, "d"), (2, "e b")], "query_id int, query string")
+    rows = retrieval.lexical(q, retrieval.build_index(p), 1).collect()
+    assert sorted((r["query_id"], r["doc_id"]) for r in rows) == [(1, 1), (2, 4)]
+    blank = spark.createDataFrame([(7, ""), (8, None)], "doc_id int, text string")
+    assert retrieval.lexical(q, retrieval.build_index(blank), 1).select("doc_id", "score").distinct().collect() == [(7, 0.0)]
+    assert retrieval.lexical(q, retrieval.build_index(blank.limit(0)), 1).count() == 0
+
+
 def test_rotation_and_numbering(spark):
     pick = windows.rotate_pick(F.array(*map(F.lit, "abc")), F.array(F.lit("a"), F.lit("b")), F.lit(2))
     assert spark.range(1).select(pick).first()[0] == "a"
