@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.sources.shared import durable, kept, scratch, shared_dir
 
-__all__ = ["WORD", "durable", "free_name", "kept", "scratch", "shared_dir", "table", "text_of"]
+__all__ = ["WORD", "durable", "free_name", "give_back", "kept", "scratch", "shared_dir", "table", "text_of"]
 
 #: A word: a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,3 +30,8 @@ def free_name(df: DataFrame, base: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def give_back() -> None:
+    """Arrow's memory that a task has freed goes back to the system, as workers live on beside later stages."""
+    pa.default_memory_pool().release_unused()

@@ -14,6 +14,7 @@ The operator is a map over the scan's partitions: no shuffle, memory bounded by
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -98,6 +99,12 @@ class Encoder:
             return self.slow(text)
 
 
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder in a worker, whatever the number of its tasks."""
+    return Encoder(path)
+
+
 def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window (0 to k-1) of each size, by k-way largest differencing; ties by input order."""
     n = len(sizes)
@@ -236,7 +243,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         packer = _Packer(capacity, grain, block_windows, slack, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], dtype="<u4")
         lengths: dict[int, int] = {}
@@ -264,12 +271,14 @@ def pack_documents(
                     put(*x)
                 if packer.next_id > before and len(rows) > 2000:
                     yield batch()
+            common.give_back()
         before = packer.next_id
         for x in packer.flush(last=True):
             put(*x)
         tail.update(s for s in lengths if s >= before)
         if rows:
             yield batch()
+        common.give_back()
 
     names = [id_column, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length"]
     key = docs.schema[id_column]

@@ -19,7 +19,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -316,19 +315,18 @@ def score_documents(docs: DataFrame, model: Model, *, text_column: str = "text",
     out = common.free_name(docs, score_column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
+    @F.arrow_udf("double")
+    def score(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
             parts, lo, size = [], 0, 0
-            sizes = s.str.len().to_numpy()
-            for hi in range(len(s)):
-                size += sizes[hi]
-                if size > 4_000_000 or hi + 1 - lo == 4000:
-                    parts.append(shared.value.scores(pa.array(s.iloc[lo : hi + 1], pa.string())))
-                    lo, size = hi + 1, 0
-            if lo < len(s):
-                parts.append(shared.value.scores(pa.array(s.iloc[lo:], pa.string())))
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+            sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).tolist()
+            for hi, n in enumerate(sizes, 1):
+                size += n
+                if size > 4_000_000 or hi - lo == 4000 or hi == len(sizes):
+                    parts.append(shared.value.scores(texts.slice(lo, hi - lo).cast(pa.string())))
+                    lo, size = hi, 0
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+            common.give_back()
 
     return docs.withColumn(out, score(common.text_of(F.col(text_column).cast("string"))))
 

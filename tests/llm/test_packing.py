@@ -70,3 +70,8 @@ def test_tiny_texts_are_packed_in_bounded_memory():
 def test_bundles_keep_order_and_bound():
     place, sizes = packing.bundles([5, 60, 70, 128, 1, 1, 500, 2], 128)
     assert place.tolist() == [0, 0, 1, 2, 3, 3, 4, 5] and sizes.tolist() == [65, 70, 128, 2, 500, 2]
+
+
+def test_a_worker_has_one_encoder_whatever_its_tasks():
+    path = packing.tokenizer_path()
+    assert packing.encoder_of(path) is packing.encoder_of(path)

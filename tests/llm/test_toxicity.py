@@ -130,3 +130,14 @@ def test_stages_without_rows(spark, tmp_path):
     none = common.table(spark, str(tmp_path), "documents").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_scores_come_from_arrow_arrays_whatever_the_parts(spark):
+    docs = frame(spark, [(i, None if i % 7 == 0 else f"word{i % 50} plain text. " * (i % 4), "a") for i in range(4500)])
+    model = toxicity.fit(["you vile grubber here"] * 20 + ["a plain text here"] * 20, [1] * 20 + [0] * 20)
+    got = toxicity.score_documents(docs.coalesce(1), model, score_column="p")
+    import pyarrow as pa
+
+    want = {r["doc_id"]: model.scores(pa.array([r["text"] or ""]))[0] for r in docs.where("doc_id % 97 = 0 or doc_id > 3990 and doc_id < 4010").collect()}
+    have = {r["doc_id"]: r["p"] for r in got.select("doc_id", "p").collect()}
+    assert len(have) == 4500 and all(abs(have[k] - v) < 1e-6 for k, v in want.items())
